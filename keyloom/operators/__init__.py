@@ -1 +1 @@
-"""operators of keyloom."""
+"""Operators, also available as methods of `KeyedFrame` (attached by `keyloom.methods`)."""
