@@ -147,3 +147,48 @@ ORACLES |= {
     "p4_found": f"with {_DAYS} select ticker, strftime(date, '%Y-%m-%d') as day_iso from rolled where total_7 = 0 and total_30 > 0",
     "p4_rolling": f"with {_DAYS} select ticker, date, total_7::bigint as total_7, total_30::bigint as total_30, round(total_7 / 7.0::double, 4) as avg_7, round(total_30 / 30.0::double, 4) as avg_30 from rolled",
 }
+
+ORACLES["p3_found"] = r"""with b as (select file_id, line_no, coalesce(line, '') as line from sample_raw where line_no > 1),
+f as (select *, list_transform(regexp_extract_all(',' || line, ',([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^",]*)', 1), lambda x: trim(x, ' ' || chr(9))) as raw from b),
+c as (select *, list_transform(raw, lambda x: case when length(x) >= 2 and x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from f),
+r as (select file_id, line_no, case
+  when not regexp_full_match(line, '([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^",]*)(,([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^",]*))*') then 'quoting'
+  when len(v) <> 7 then 'columns'
+  when not regexp_full_match(v[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') or try_cast(v[1] as date) is null or v[2] in ('', 'NA', 'missing')
+    or len(list_filter(v[3:6], lambda x: not (x in ('', 'NA', 'missing') or regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')))) > 0
+    or not (v[7] in ('', 'NA', 'missing') or (regexp_full_match(v[7], '[0-9]+') and try_cast(v[7] as bigint) is not null)) then 'value' end as reason from c)
+select file_id, line_no, reason from r where reason is not null"""
+
+ORACLES["p1_found"] = r"""with lines as (select * from t1 union all select * from t2),
+cat as (select file_id, feed, coalesce(carried, 0) as carried, lag(file_id) over (partition by feed order by written_at, file_id) as before_id
+  from filecatalog where dataset in ('t1', 't2')),
+split as (select file_id, line_no, regexp_extract_all(',' || coalesce(line, ''), ',([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^,]*)', 1) as cs from lines),
+raw as (select file_id, line_no, trim(unnest(cs), ' ' || chr(9)) as b, generate_subscripts(cs, 1) as pos from split),
+clean as (select file_id, line_no, pos, case when length(b) >= 2 and b[1] = '"' and b[-1] = '"' then trim(replace(b[2:-2], '""', '"'), ' ' || chr(9)) else b end as c from raw),
+names as (select file_id, regexp_replace(lower(c), '[ \t]+', '_', 'g') as name, min(pos) as pos from clean where line_no = 1 group by all),
+vals as (select n.file_id, n.name, c.line_no, case when c.c in ('', 'NA', 'missing') then null else c.c end as v
+  from names n join clean c on c.file_id = n.file_id and c.pos = n.pos where c.line_no > 1),
+typed as (select file_id, name, case when count(v) = 0 then null when bool_and(regexp_full_match(v, '[+-]?[0-9]+')) then 'long'
+    when bool_and(regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')) then 'double'
+    when bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) then 'date' else 'string' end as kind from vals group by all),
+cols as (select n.file_id, n.name, t.kind from names n left join typed t on t.file_id = n.file_id and t.name = n.name),
+new_ as (select p.file_id, p.before_id, p.carried, c.name, c.kind from cat p join cols c on c.file_id = p.file_id where p.before_id is not null),
+old_ as (select p.file_id, p.before_id, p.carried, c.name, c.kind from cat p join cols c on c.file_id = p.before_id),
+only_new as (select * from new_ n where not exists (select 1 from old_ o where o.file_id = n.file_id and o.name = n.name)),
+only_old as (select * from old_ o where not exists (select 1 from new_ n where o.file_id = n.file_id and o.name = n.name)),
+ends as (select file_id, max(line_no) as e from lines group by all),
+steps as (select n.file_id, n.name as new_name, o.name as old_name, n.carried, unnest(generate_series(1, n.carried)) as k, n.before_id
+  from only_new n join only_old o on o.file_id = n.file_id where n.carried > 0),
+cells as (select s.file_id, s.new_name, s.old_name, s.carried, a.v as x, b.v as y from steps s join ends e on e.file_id = s.before_id
+  left join vals a on a.file_id = s.file_id and a.name = s.new_name and a.line_no = s.k + 1
+  left join vals b on b.file_id = s.before_id and b.name = s.old_name and b.line_no = e.e - s.carried + s.k),
+renames as (select file_id, new_name, old_name from cells group by all
+  having bool_and((x is null and y is null) or coalesce(x = y, false)
+    or coalesce(regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and regexp_full_match(y, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      and try_cast(x as double) = try_cast(y as double), false)) and count(x) > 0)
+select distinct file_id, new_name as column_name, 'renamed' as change_kind from renames
+union all select file_id, name, 'added' from only_new n where not exists (select 1 from renames r where r.file_id = n.file_id and r.new_name = n.name)
+union all select file_id, name, 'removed' from only_old o where not exists (select 1 from renames r where r.file_id = o.file_id and r.old_name = o.name)
+union all select n.file_id, n.name, 'retyped' from new_ n join old_ o on o.file_id = n.file_id and o.name = n.name where n.kind <> o.kind
+union all select distinct r.file_id, r.new_name, 'retyped' from renames r join new_ n on n.file_id = r.file_id and n.name = r.new_name
+  join old_ o on o.file_id = r.file_id and o.name = r.old_name where n.kind <> o.kind"""
