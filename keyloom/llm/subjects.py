@@ -8,7 +8,7 @@ all other classes.  The classes are the subjects and "nothing".  Training starts
 documents and is refined by expectation-maximization: in a labelled document each sentence
 belongs to one of the document's labels or to nothing, in any other to any class.  Every document
 takes part in every iteration, and labelled ones once more with their labels.  The margins of the
-labelled documents calibrate one logistic curve for each subject, which turns the largest margin
+labelled documents calibrate one monotone curve for each subject, which turns the largest margin
 of a document's sentences into an independent posterior.
 
 Features are words, pairs of neighbouring words, and the whole sentence, hashed to ``DIMENSIONS``
@@ -37,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.session import checkpointed
+
 DIMENSIONS = 1 << 18
 SMOOTHING = 0.1
 PRIOR, SHARPNESS, DECISIVENESS = 0.3, 2.0, 4.0
 LABEL_WEIGHT = 3.0
+PRIOR_DOCUMENTS = 2.0
 BINS, REACH = 120, 30.0  # of the calibration histogram: margins from -REACH to REACH
 
 _LINE = re.compile(r"<br\s*/?>|</?(?:p|div|li|tr)\b[^<>]*>", re.I)
@@ -73,8 +76,10 @@ def sentences(text: str | None) -> Iterator[list[str]]:
     if not text:
         return
     for part in _SENTENCE.split(visible(text)):
-        plain = unicodedata.normalize("NFKD", part.casefold())
-        words = _WORD.findall("".join(c for c in plain if not unicodedata.combining(c)))
+        plain = part.casefold()
+        if not plain.isascii():
+            plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+        words = _WORD.findall(plain)
         if words:
             yield ["0" if w.isdigit() else w for w in words]
 
@@ -175,8 +180,12 @@ class SubjectModel:
         self.subjects, self.weight, self.curves = subjects, weight, curves
 
 
-def _expected_counts(docs: DataFrame, text: str, classes: int, model: np.ndarray | None, mask: str | None) -> np.ndarray:
-    """One pass: expected feature counts by class.  ``mask``: the column of allowed classes as bits."""
+def _expected_counts(docs: DataFrame, classes: int, model: np.ndarray | None) -> np.ndarray:
+    """One pass over ``text, mask``: expected feature counts by class.
+
+    ``mask`` has the allowed classes as bits; -1 stands for a document without labels.  Labelled
+    documents count ``LABEL_WEIGHT`` times.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +196,8 @@ def _expected_counts(docs: DataFrame, text: str, classes: int, model: np.ndarray
             flat, starts, owner = batch_features(texts, featurizer)
             if not len(starts):
                 continue
-            allowed = None
-            if mask is not None:
-                bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-                allowed = (bits[:, None] >> np.arange(classes)) & 1 > 0
+            bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            allowed = (bits[:, None] >> np.arange(classes)) & 1 > 0
             if weight is None:
                 # to begin with, a sentence belongs to the labels of its document in equal parts
                 labels = allowed[:, :-1]
@@ -198,6 +205,7 @@ def _expected_counts(docs: DataFrame, text: str, classes: int, model: np.ndarray
                 p /= p.sum(1, keepdims=True)
             else:
                 p = posteriors(sentence_scores(weight, flat, starts), allowed)
+            p *= np.where(bits < 0, 1.0, LABEL_WEIGHT)[:, None]
             if total is None:
                 total = np.zeros((DIMENSIONS, classes), np.float32)
             sizes = np.diff(np.r_[starts, len(flat)])
@@ -213,8 +221,7 @@ def _expected_counts(docs: DataFrame, text: str, classes: int, model: np.ndarray
                     ["feature", *[f"c{k}" for k in range(classes)]],
                 )
 
-    columns = [F.col(text).cast("string")] + ([F.col(mask)] if mask is not None else [])
-    parts = docs.select(*columns).mapInArrow(run, "feature int, " + ", ".join(f"c{k} double" for k in range(classes)))
+    parts = docs.select("text", "mask").mapInArrow(run, "feature int, " + ", ".join(f"c{k} double" for k in range(classes)))
     summed = parts.groupBy("feature").agg(*[F.sum(f"c{k}").cast("float").alias(f"c{k}") for k in range(classes)])
     table = summed.toArrow()  # at most DIMENSIONS rows
     counts = np.zeros((DIMENSIONS, classes), np.float64)
@@ -232,11 +239,11 @@ def _labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], key:
     known = labels.where(F.col("subject").isNull() | F.col("subject").isin(*subjects))
     masks = known.groupBy(key).agg(F.bit_or(bit).alias("mask"))
     masks = masks.withColumn("mask", F.col("mask").bitwiseOR(F.lit(1 << len(subjects)).cast("bigint")))
-    return documents.select(key, F.col(text).alias("text")).join(masks, key).select("text", "mask")
+    return documents.select(key, F.col(text).cast("string").alias("text")).join(masks, key).select("text", "mask")
 
 
 def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.ndarray:
-    """Slope and offset for each subject, from histograms of the labelled documents' margins."""
+    """A curve for each subject, from histograms of the labelled documents' margins."""
     sent = docs.sparkSession.sparkContext.broadcast(weight)
     n = len(subjects)
 
@@ -247,7 +254,7 @@ def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.n
             texts = batch.column(0).to_pylist()
             got = document_margins(sent.value, *batch_features(texts, featurizer), len(texts))
             bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.clip(((got + REACH) / (2 * REACH) * BINS).astype(int), 0, BINS - 1)
+            at = _bins(got)
             for k in range(n):
                 np.add.at(hist[k], (at[:, k], (bits >> k) & 1), 1)
         k, b, y = np.nonzero(hist)
@@ -257,46 +264,59 @@ def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.n
     hist = np.zeros((n, BINS, 2))
     for r in rows:
         hist[r["k"], r["b"], r["y"]] = r["n"]
+    return np.stack([_curve(h) for h in hist])
+
+
+def _bins(margin: np.ndarray) -> np.ndarray:
+    return np.clip(((margin + REACH) / (2 * REACH) * BINS).astype(int), 0, BINS - 1)
+
+
+def _curve(h: np.ndarray) -> np.ndarray:
+    """The posterior of each bin of margins: an isotonic fit without the labels' noise.
+
+    Some labels are wrong however clear the text is; their shares show at both ends of the margins
+    and are taken out, so that the middle of the curve stays where texts turn doubtful.  A weak
+    prior (a few documents a bin) fills bins that no labelled document falls into.
+    """
     x = (np.arange(BINS) + 0.5) / BINS * 2 * REACH - REACH
-    return np.stack([_logistic(x, h[:, 1], h.sum(1)) for h in hist])
-
-
-def _logistic(x: np.ndarray, yes: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """Weighted logistic fit by Newton steps, with a weak pull towards slope 1 and offset 0."""
-    at = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones_like(x)], 1)
-    pull = np.diag([1.0, 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ at, -40, 40)))
-        gradient = design.T @ (yes - all_ * p) - pull @ (at - [1.0, 0.0])
-        hessian = (design * (all_ * p * (1 - p))[:, None]).T @ design + pull
-        step = np.linalg.solve(hessian, gradient)
-        at = at + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-8:
-            break
-    return at
-
-
-def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", rounds: int = 3) -> SubjectModel:
+    n = h.sum(1)
+    ends = [x <= -REACH / 3, x >= REACH / 3]
+    low, high = (h[e, 1].sum() / n[e].sum() if n[e].sum() else d for e, d in zip(ends, (0.0, 1.0)))
+    yes = np.clip((h[:, 1] - low * n) / (high - low), 0, n) if high - low > 0.5 else h[:, 1]
+    prior = 1 / (1 + np.exp(-(x - 1.5)))
+    return _isotonic((yes + PRIOR_DOCUMENTS * prior) / (n + PRIOR_DOCUMENTS), n + PRIOR_DOCUMENTS)
+
+
+def _isotonic(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The closest rising sequence: neighbours that fall are pooled."""
+    pools: list[list[float]] = []
+    for s, w in zip(share, weight):
+        pools.append([s, w, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    return np.concatenate([np.full(int(k), s) for s, _, k in pools])
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", rounds: int = 2) -> SubjectModel:
     """Fit weights and curves; ``rounds`` passes of expectation-maximization over all documents."""
     subjects = sorted(set(subjects))
     classes = len(subjects) + 1
-    labelled = _labelled(documents, labels, subjects, key, text)
-    counts = _expected_counts(labelled, "text", classes, None, "mask")
+    labelled = checkpointed(_labelled(documents, labels, subjects, key, text))
+    counts = _expected_counts(labelled, classes, None)
     if not counts.any():
         return SubjectModel(subjects, np.zeros((DIMENSIONS, classes), np.float32))
     # first among the labelled documents alone, to tell their subjects from nothing
     for _ in range(2):
-        counts = _expected_counts(labelled, "text", classes, weights(counts), "mask")
+        counts = _expected_counts(labelled, classes, weights(counts))
+    every = labelled.unionByName(documents.select(F.col(text).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("mask")))
     for _ in range(rounds):
-        weight = weights(counts)
-        counts = LABEL_WEIGHT * _expected_counts(labelled, "text", classes, weight, "mask")
-        counts += _expected_counts(documents, text, classes, weight, None)
+        counts = _expected_counts(every, classes, weights(counts))
     weight = weights(counts)
     return SubjectModel(subjects, weight, _calibrate(labelled, subjects, weight))
 
 
-def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """``<key>, subject, posterior`` for every subject whose posterior is at least ``least``."""
     sent = documents.sparkSession.sparkContext.broadcast((model.subjects, model.weight, model.curves))
 
@@ -309,7 +329,7 @@ def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "do
             texts = batch.column(1).to_pylist()
             flat, starts, owner = batch_features(texts, featurizer)
             got = document_margins(weight, flat, starts, owner, len(texts))
-            p = 1 / (1 + np.exp(-np.clip(got * curves[:, 0] + curves[:, 1], -40, 40)))
+            p = curves[np.arange(len(subjects))[None, :], _bins(got)]
             p[got <= -REACH] = 0
             row, k = np.nonzero(p >= max(least, 1e-12))
             yield pa.RecordBatch.from_arrays(

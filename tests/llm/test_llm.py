@@ -169,6 +169,9 @@ def test_subjects_edges(spark):
 def test_margins_and_curves():
     m = subjects.margins(np.array([[3.0, 1.0, 0.0]]))
     assert m.tolist() == [[2.0, -2.0, -3.0]]
-    x = np.linspace(-30, 30, 120)
-    slope, offset = subjects._logistic(x, (x > 2) * 10.0, np.full(120, 10.0))
-    assert slope > 0.5 and -slope * 4 < offset < 0
+    assert subjects._isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == pytest.approx([0.1, 0.4, 0.4, 0.9])
+    x = np.linspace(-29.75, 29.75, 120)
+    hist = np.stack([np.where(x > 2, 4.0, 96.0), np.where(x > 2, 96.0, 4.0)], 1)  # four in a hundred labels are wrong
+    curve = subjects._curve(hist)
+    assert (np.diff(curve) >= 0).all() and curve[x < 1].max() < 0.1 and curve[x > 3].min() > 0.9
+    assert subjects._curve(np.zeros((120, 2)))[60] < 0.5 < subjects._curve(np.zeros((120, 2)))[70]
