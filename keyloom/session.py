@@ -32,6 +32,27 @@ def get_session(app: str = "keyloom", cores: int = 8, **conf: str) -> SparkSessi
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that may not have it on their path.
+
+    Done once for each application, and only where the package lies in a folder (not when it is installed).
+    """
+    import os
+    import shutil
+
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if app in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root.endswith("site-packages"):
+        return
+    folder = tempfile.mkdtemp(prefix="keyloom-package-")
+    made = shutil.make_archive(os.path.join(folder, "keyloom"), "zip", root, "keyloom")
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
