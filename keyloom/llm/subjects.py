@@ -173,6 +173,22 @@ def document_margins(model: np.ndarray, flat: np.ndarray, starts: np.ndarray, ow
     return out
 
 
+def _packed(weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The rows of the model that are not zero: what is sent to the executors."""
+    if weight is None:
+        return None
+    used = np.flatnonzero(weight.any(1))
+    return used.astype(np.int32), weight[used]
+
+
+def _unpacked(sent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray | None:
+    if sent is None:
+        return None
+    out = np.zeros((DIMENSIONS, sent[1].shape[1]), np.float32)
+    out[sent[0]] = sent[1]
+    return out
+
+
 class SubjectModel:
     """Weights (features by classes, "nothing" last), the subjects, and a curve for each."""
 
@@ -186,10 +202,10 @@ def _expected_counts(docs: DataFrame, classes: int, model: np.ndarray | None) ->
     ``mask`` has the allowed classes as bits; -1 stands for a document without labels.  Labelled
     documents count ``LABEL_WEIGHT`` times.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer, weight = Featurizer(), sent.value
+        featurizer, weight = Featurizer(), _unpacked(sent.value)
         total = None
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -224,6 +240,7 @@ def _expected_counts(docs: DataFrame, classes: int, model: np.ndarray | None) ->
     parts = docs.select("text", "mask").mapInArrow(run, "feature int, " + ", ".join(f"c{k} double" for k in range(classes)))
     summed = parts.groupBy("feature").agg(*[F.sum(f"c{k}").cast("float").alias(f"c{k}") for k in range(classes)])
     table = summed.toArrow()  # at most DIMENSIONS rows
+    sent.destroy()
     counts = np.zeros((DIMENSIONS, classes), np.float64)
     index = table["feature"].to_numpy()
     for k in range(classes):
@@ -244,15 +261,15 @@ def _labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], key:
 
 def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.ndarray:
     """A curve for each subject, from histograms of the labelled documents' margins."""
-    sent = docs.sparkSession.sparkContext.broadcast(weight)
+    sent = docs.sparkSession.sparkContext.broadcast(_packed(weight))
     n = len(subjects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer = Featurizer()
+        featurizer, weight = Featurizer(), _unpacked(sent.value)
         hist = np.zeros((n, BINS, 2), np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            got = document_margins(sent.value, *batch_features(texts, featurizer), len(texts))
+            got = document_margins(weight, *batch_features(texts, featurizer), len(texts))
             bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             at = _bins(got)
             for k in range(n):
@@ -261,6 +278,7 @@ def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.n
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(y), pa.array(hist[k, b, y])], ["k", "b", "y", "n"])
 
     rows = docs.select("text", "mask").mapInArrow(run, "k bigint, b bigint, y bigint, n bigint").groupBy("k", "b", "y").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     hist = np.zeros((n, BINS, 2))
     for r in rows:
         hist[r["k"], r["b"], r["y"]] = r["n"]
@@ -318,11 +336,11 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str
 
 def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """``<key>, subject, posterior`` for every subject whose posterior is at least ``least``."""
-    sent = documents.sparkSession.sparkContext.broadcast((model.subjects, model.weight, model.curves))
+    sent = documents.sparkSession.sparkContext.broadcast((model.subjects, _packed(model.weight), model.curves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subjects, weight, curves = sent.value
-        featurizer = Featurizer()
+        weight, featurizer = _unpacked(weight), Featurizer()
         for batch in batches:
             if curves is None:
                 continue
