@@ -17,7 +17,7 @@ name (or the reverse) are all renamed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import cells
@@ -76,11 +76,12 @@ def _carried_cells(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     head = body.where(F.col("line_no") <= most + 1)
     later = head.join(pairs.select("file_id", "carried"), "file_id").where(F.col("line_no") <= F.col("carried") + 1)
     later = later.select(F.col("file_id").alias("later_id"), F.lit(1).alias("side"), (F.col("line_no") - 1).alias("k"), "line")
-    ends = body.groupBy("file_id").agg(F.max("line_no").alias("end"))
-    wanted = pairs.select(F.col("file_id").alias("later_id"), F.col("before_id").alias("file_id"), "carried").join(ends, "file_id")
-    wanted = wanted.select("later_id", "file_id", "end", F.explode(F.sequence(F.lit(1), F.col("carried"))).alias("k"), "carried")
-    wanted = wanted.select("later_id", "file_id", "k", (F.col("end") - F.col("carried") + F.col("k")).alias("line_no"))
-    earlier = body.join(wanted, ["file_id", "line_no"]).select("later_id", F.lit(0).alias("side"), "k", "line")
+    # rank 1 is the last record of a file; tasks drop their other rows before the shuffle
+    back = Window.partitionBy("file_id").orderBy(F.col("line_no").desc())
+    tail = body.withColumn("back", F.row_number().over(back)).where(F.col("back") <= most)
+    wanted = pairs.select(F.col("file_id").alias("later_id"), F.col("before_id").alias("file_id"), "carried")
+    earlier = tail.join(wanted, "file_id").where(F.col("back") <= F.col("carried"))
+    earlier = earlier.select("later_id", F.lit(0).alias("side"), (F.col("carried") - F.col("back") + 1).alias("k"), "line")
     both = later.unionByName(earlier)
     return both.select("later_id", "side", "k", F.posexplode(cells.split_cells(F.col("line"))).alias("pos", "cell")).select(
         "later_id", "side", "k", "pos", cells.clean(F.col("cell")).alias("cell")
