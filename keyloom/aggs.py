@@ -125,6 +125,12 @@ def adaptive_hist(bins: int) -> Stat:
     return Stat("khist", lambda c: F.histogram_numeric(F.when(~F.isnan(c.cast("double")), c.cast("double")), F.lit(bins)))
 
 
+def filtered(f: Any, keep: Callable[[Column], Column]) -> Stat:
+    """A statistic of the values that satisfy a condition."""
+    inner = stat(f)
+    return Stat(inner.name, lambda c: inner(F.when(keep(c), c)) if not inner.whole else F.count_if(keep(c)))
+
+
 def regression(x: str) -> Stat:
     """Slope and intercept of the column on ``x``."""
     return Stat("linreg", lambda c: F.struct(F.regr_slope(c, F.col(x)).alias("slope"), F.regr_intercept(c, F.col(x)).alias("intercept")))

@@ -22,3 +22,5 @@ KeyedFrame.column_frames = project.columns
 KeyedFrame.key_rows = project.key_rows
 KeyedFrame.value_rows = project.value_rows
 KeyedFrame.feature_schema = features.schema
+KeyedFrame.insert_row = filters.upsert
+KeyedFrame.aggregate_stats = group.groupreduce

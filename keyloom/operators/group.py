@@ -217,15 +217,17 @@ class Mergeable:
 def fold(t: KeyedFrame, stat: Mergeable | Callable, value: Any, by: Any = None, name: str = "value", returns: str = "double") -> KeyedFrame:
     """A custom mergeable statistic, or any associative and commutative ``f(a, b)``.
 
-    Each task folds its rows to one state a group; the states are shuffled, at most one a task and
-    group, and merged in salted steps no group can overload.  Missing values are skipped.
+    Each task folds its rows to one state a group; the states are shuffled, about one for each
+    task and group, and merged.  Several columns reach the function as a dict.  Missing values are
+    skipped.
     """
     if not isinstance(stat, Mergeable):
         f = stat
         nothing = None
         stat = Mergeable(lambda: nothing, lambda s, v: v if s is None else f(s, v), lambda a, b: b if a is None else a if b is None else f(a, b), returns=returns)
     keys = list(t.keys) if by is None else t.names(by)
-    (column, expr), *_ = t.exprs(value)
+    inputs = t.exprs(value)
+    expr = inputs[0][1] if len(inputs) == 1 else F.struct(*[c.alias(n) for n, c in inputs])
     fields = [t.schema[k] for k in keys]
     source = t.df.select(*[quoted(k) for k in keys], expr.alias("__value"))
     middle = T.StructType([*fields, T.StructField("__state", T.BinaryType())])

@@ -44,9 +44,10 @@ def groupvalue(t: KeyedFrame, column: Any, stat: Any = "mean", by: Any = None, n
     ((n, c),) = t.exprs(column)
     s = aggs.stat(stat)
     out = name or f"{n}_{s.name}"
-    groups = t.df.groupBy(*[quoted(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(s(c).alias(out))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & quoted(k).eqNullSafe(F.col(f"__g{i}"))
-    joined = t.df.join(groups, same, "left") if keys else t.df.crossJoin(F.broadcast(groups))  # one row
+    by_ = [quoted(k) for k in keys] or [F.lit(0)]
+    groups = t.df.groupBy(*[c.alias(f"__g{i}") for i, c in enumerate(by_)]).agg(s(c).alias(out))
+    rows, same = t.df.withColumns({f"__k{i}": c for i, c in enumerate(by_)}), F.lit(True)
+    for i in range(len(by_)):
+        same = same & F.col(f"__k{i}").eqNullSafe(F.col(f"__g{i}"))
+    joined = rows.join(groups if keys else F.broadcast(groups), same, "left")  # without a key there is one row
     return t.like(joined.select(*[quoted(x) for x in t.columns], quoted(out)))

@@ -221,7 +221,7 @@ def _load(
     if kind == ARRAY and not keys:
         # an implicit dimension 1..n: order of files, then of rows
         order = F.array_position(F.array(*[F.lit(p) for p in paths]), F.regexp_replace("__file", "^file:/*", "/"))
-        numbered = KeyedFrame(final.withColumn("__order", order).withColumn("__at", F.monotonically_increasing_id()), ["__order", "__at"]).with_row_number("_1")
+        numbered = KeyedFrame(final.withColumn("__order", order).withColumn("__at", F.monotonically_increasing_id()), ["__order", "__at"]).with_row_number("_1", _next_number(spark, output) if append and output else 1)
         frame = KeyedFrame(numbered.select("_1", *[quoted(c) for c in data]), ["_1"], ARRAY)
     else:
         frame = KeyedFrame(final, keys, kind)
@@ -240,6 +240,16 @@ def _load(
     return frame
 
 
+def _next_number(spark: SparkSession, path: str) -> int:
+    """The number after the last one saved, so that appended rows go on counting."""
+    from keyloom.sources.store import exists, load
+
+    if not exists(spark, path):
+        return 1
+    saved = load(path, spark)
+    return (saved.df.agg(F.max(quoted(saved.keys[0]))).first()[0] or 0) + 1
+
+
 def load_table(files: str | Sequence[str], **options: Any) -> KeyedFrame:
     """A table from files.
 
@@ -259,6 +269,19 @@ def load_array(files: str | Sequence[str], **options: Any) -> KeyedFrame:
     return _load(files, kind=ARRAY, **options)
 
 
+load_files = load_array
+
+
+def ingest(files: str | Sequence[str], output: str, **options: Any) -> KeyedFrame:
+    """Load files as an array and keep it saved in ``output``."""
+    return load_array(files, output=output, **options)
+
+
+def ingest_append(files: str | Sequence[str], output: str, **options: Any) -> KeyedFrame:
+    """Add files to what is saved in ``output``."""
+    return load_array(files, output=output, append=True, **options)
+
+
 def csvread(files: str | Sequence[str], **options: Any) -> DataFrame:
     """The plain DataFrame of files."""
     return load_table(files, **options).df

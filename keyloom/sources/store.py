@@ -12,14 +12,14 @@ from keyloom.frame import KeyedFrame
 SIDECAR = "_keys"
 
 
-def save(t: KeyedFrame, path: str, append: bool = False, single: bool = False, bucket_rows: int | None = None) -> KeyedFrame:
+def save(t: KeyedFrame, path: str, append: bool = False, single: bool = False) -> KeyedFrame:
     """Write a frame and return it reloaded.
 
     Rows are range-partitioned and sorted by key, so that lookups by key skip files and row groups
     by their statistics.  ``append`` adds to what is there (same key and columns).  ``single`` writes one file.
     """
     spark = t.df.sparkSession
-    if append and _exists(spark, path):
+    if append and exists(spark, path):
         old = load(path, spark)
         if old.keys != t.keys or old.kind != t.kind:
             raise ValueError(f"the saved frame has the key {old.keys}, this one {t.keys}")
@@ -40,7 +40,7 @@ def load(path: str, spark: SparkSession | None = None, **ignored: Any) -> KeyedF
     """A saved frame, or any parquet directory (without a key)."""
     spark = spark or SparkSession.getActiveSession()
     df = spark.read.option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    if not _exists(spark, f"{path}/{SIDECAR}"):
+    if not exists(spark, f"{path}/{SIDECAR}"):
         return KeyedFrame(df)
     meta = json.loads(_sidecar(spark, f"{path}/{SIDECAR}"))
     return KeyedFrame(df, meta["keys"], meta["kind"])
@@ -51,7 +51,7 @@ def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop = _fs(spark, path)
     return fs.exists(hadoop)
 

@@ -111,3 +111,11 @@ def test_load_with_output(spark, folder, tmp_path, rows):
     assert t.keys == ("date", "ticker") and rows(k.load(out)) == rows(t)
     t = k.load_table(os.path.join(d, "2010.csv"), indexcols=["date", "ticker"], output=out, append=True)
     assert len(t) == 8
+
+
+def test_ingest_goes_on_counting(spark, folder, tmp_path):
+    d = folder(**{"2010": prices(2010)})
+    out = str(tmp_path / "kept")
+    assert len(k.ingest(os.path.join(d, "2010.csv"), out)) == 4
+    more = k.ingest_append(os.path.join(d, "2010.csv"), out)
+    assert [r[0] for r in more.collect()] == list(range(1, 9))

@@ -266,3 +266,22 @@ def test_dates_as_keys(spark):
     days = [datetime.date(2014 + i, 1, 1) for i in range(4)]
     x = k.array({"date": days}, [4, 5, 6, 7])
     assert x.at(datetime.date(2015, 1, 1)) == 5
+
+
+def test_builder(spark, txy, rows):
+    b = k.ColumnBuilder(txy)
+    b["z"] = ("x", lambda x: x * 10)
+    b.insert_before("x", "w", [7, 8])
+    b.insert_after("x", "v", ("y", lambda y: y + 1))
+    b.rename("y", "q")
+    del b["z"]
+    got = b.build()
+    assert got.columns == ["t", "w", "x", "v", "q"] and rows(got) == [(0.01, 7, 2, 4, 3), (0.05, 8, 1, 5, 4)]
+    assert rows(b["w"]) == [(7,), (8,)] and txy.columns == ["t", "x", "y"]
+
+
+def test_filtered_and_row_folds(spark, rows):
+    t = k.table({"g": ["a", "a", "b"], "v": [1, 2, 4], "w": [5, 6, 7]})
+    assert t.reduce(aggs.filtered("+", lambda c: c > 1), "v") == 6 and t.reduce(aggs.filtered("length", lambda c: c > 1), "v") == 2
+    got = t.fold(lambda a, b: {"v": a["v"] + b["v"], "w": max(a["w"], b["w"])}, ["v", "w"], "g", returns="struct<v:bigint,w:bigint>")
+    assert rows(got) == [("a", (3, 6)), ("b", (4, 7))]
