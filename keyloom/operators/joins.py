@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom import selectors as S
 from keyloom.frame import ARRAY, KeyedFrame, quoted
@@ -148,7 +149,7 @@ def groupjoin(left: KeyedFrame, right: KeyedFrame, how: str = "inner", f: Any =
     return KeyedFrame(wide.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(lk)], *cells), lk)
 
 
-def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = None) -> KeyedFrame:
+def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = "auto") -> KeyedFrame:
     """The last right row not after the left row, for equal leading keys.
 
     Keys but the last must be equal, the last is matched backwards (an equal one counts).  Value
@@ -156,13 +157,17 @@ def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = None)
     other right columns are added.  Of right rows with equal keys the largest values win.
 
     One sorted pass over both sides: right rows sort before left rows of the same key, and each
-    left row takes the last right row seen.  ``tile`` cuts long histories: a width (for numbers) or a unit of ``date_trunc`` (for dates); inside a tile
-    the pass is local, and a tile without an earlier right row takes the last one of the tiles
-    before, so that a key with a large share of the rows is spread over its tiles.
+    left row takes the last right row seen.  ``tile`` cuts long histories: a width (for numbers) or
+    a unit of ``date_trunc`` (for dates); inside a tile the pass is local, and a tile without an
+    earlier right row takes the last one of the tiles before, so that a key with a large share of
+    the rows is spread over its tiles.  By default dates are cut by month and numbers not at all;
+    None leaves everything of one key in one pass.
     """
     if len(left.keys) != len(right.keys) or not left.keys:
         raise ValueError("both sides need the same number of keys")
     width = len(left.keys)
+    if tile == "auto":
+        tile = "month" if isinstance(left.schema[left.keys[-1]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None
     l = left.df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(left.keys)], F.lit(1).alias("__side"),
                        F.struct(*[quoted(v) for v in left.values]).alias("__left"))
     r = right.df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(right.keys)], F.lit(0).alias("__side"),

@@ -30,7 +30,7 @@ from keyloom.session import guarded_broadcast
 LIMB = 1 << 31
 MARK = -(1 << 31)  # stands for a null day in a block
 ENTITIES = 4096  # entities multiplied at once
-TICKER = r"^[A-Z]{3,5}(\.[A-Z])?$"
+TICKER = r"^[A-Z]{3,5}(\.[A-Z])?\z"
 
 
 def last_delivery(rows: DataFrame, catalog: DataFrame) -> DataFrame:

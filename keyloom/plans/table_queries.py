@@ -256,7 +256,7 @@ def _events(spark, d, kind):
 
 @query(_ASOF)
 def asof_join(spark, d):
-    return _events(spark, d, "purchase").asofjoin(_events(spark, d, "signup")).df
+    return _events(spark, d, "purchase").asofjoin(_events(spark, d, "signup"), tile=None).df
 
 
 @query(_ASOF)

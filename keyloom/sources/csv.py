@@ -8,11 +8,10 @@ one pass over everything (not from the first rows), so a late value never breaks
 
 from __future__ import annotations
 
-import glob as globbing
-import os
 import re
 import warnings
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as fold_left
 from typing import Any
 
@@ -36,20 +35,30 @@ _KINDS: list[tuple[str, str, T.DataType]] = [
 ]
 
 
-def resolve_files(files: str | Sequence[str]) -> list[str]:
+def _status(spark: SparkSession, pattern: str) -> list[Any]:
+    """What a path or pattern stands for, on any file system that Hadoop knows."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return list(found) if found is not None else []
+
+
+def resolve_files(files: str | Sequence[str], spark: SparkSession | None = None) -> list[str]:
     """Paths, directories (visible regular files, not recursive) and patterns as a list of files."""
+    spark = spark or SparkSession.getActiveSession()
     given = [files] if isinstance(files, str) else list(files)
     out: list[str] = []
     for f in given:
-        if os.path.isdir(f):
-            out += [p for p in sorted(os.path.join(f, n) for n in os.listdir(f) if n[0] not in "._") if os.path.isfile(p)]
-        elif os.path.isfile(f):
-            out.append(f)
-        else:
-            found = sorted(globbing.glob(f))
-            if not found:
-                raise FileNotFoundError(f"{f} is neither a file nor a directory")
-            out += resolve_files(found)
+        found = _status(spark, f)
+        if not found:
+            raise FileNotFoundError(f"{f} is neither a file nor a directory")
+        for status in found:
+            path = status.getPath()
+            if not status.isDirectory():
+                out.append(path.toString())
+                continue
+            inside = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+            out += sorted(s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._")
     if not out:
         raise ValueError("there are no files to load")
     return out
@@ -71,11 +80,25 @@ def _split(line: str, delim: str, quote: str, spaces: bool) -> list[str]:
     return next(csv.reader([line], delimiter=delim, quotechar=quote or '"', skipinitialspace=True), [])
 
 
-def _header(path: str, delim: str, quote: str, spaces: bool, skip: int) -> list[str]:
-    with open(path, encoding="utf-8-sig", errors="replace", newline="") as file:
-        for _ in range(skip):
-            file.readline()
-        return [canonical(n) for n in _split(file.readline().rstrip("\r\n"), delim, quote, spaces)]
+def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return [reader.readLine() or "" for _ in range(n)]
+    finally:
+        reader.close()
+
+
+def _headers(spark: SparkSession, paths: list[str], delim: str, quote: str, spaces: bool, skip: int) -> list[list[str]]:
+    """The header of each file; only first lines are read, many files at a time."""
+    def one(path: str) -> list[str]:
+        line = _first_lines(spark, path, skip + 1)[-1].lstrip("\ufeff").rstrip("\r\n")
+        return [canonical(n) for n in _split(line, delim, quote, spaces)]
+
+    with ThreadPoolExecutor(min(32, len(paths))) as pool:
+        return list(pool.map(one, paths))
 
 
 def _read(spark: SparkSession, paths: list[str], names: list[str], header: bool, delim: str, quote: str, escape: str, spaces: bool, skip: int) -> DataFrame:
@@ -158,16 +181,13 @@ def _load(
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         raise ValueError("there is no active session")
-    paths = resolve_files(files)
+    paths = resolve_files(files, spark)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        if header_exists:
-            names = _header(p, delim, quotechar, spacedelim, skiplines_begin)
-            if colnames:
-                names = list(colnames)
-        else:
-            width = len(_header(p, delim, quotechar, spacedelim, skiplines_begin))
-            names = list(colnames) if colnames else [f"_{i}" for i in range(1, width + 1)]
+    for p, names in zip(paths, _headers(spark, paths, delim, quotechar, spacedelim, skiplines_begin)):
+        if colnames:
+            names = list(colnames)
+        elif not header_exists:
+            names = [f"_{i}" for i in range(1, len(names) + 1)]
         same = {alt: group[0] for group in samecols for alt in group}
         names = [same.get(n, n) for n in names]
         if not any(names):
@@ -220,7 +240,7 @@ def _load(
         final = final.repartition(chunks)
     if kind == ARRAY and not keys:
         # an implicit dimension 1..n: order of files, then of rows
-        order = F.array_position(F.array(*[F.lit(p) for p in paths]), F.regexp_replace("__file", "^file:/*", "/"))
+        order = F.array_position(F.array(*[F.lit(re.sub("^file:/*", "/", p)) for p in paths]), F.regexp_replace("__file", "^file:/*", "/"))
         numbered = KeyedFrame(final.withColumn("__order", order).withColumn("__at", F.monotonically_increasing_id()), ["__order", "__at"]).with_row_number("_1", _next_number(spark, output) if append and output else 1)
         frame = KeyedFrame(numbered.select("_1", *[quoted(c) for c in data]), ["_1"], ARRAY)
     else:
@@ -288,7 +308,8 @@ def csvread(files: str | Sequence[str], **options: Any) -> DataFrame:
 
 
 def glob(pattern: str) -> list[str]:
-    return sorted(globbing.glob(pattern))
+    """The files and directories that match a pattern, sorted."""
+    return sorted(s.getPath().toString() for s in _status(SparkSession.getActiveSession(), pattern))
 
 
 def dateformat(pattern: str) -> Callable[[Column], Column]:
