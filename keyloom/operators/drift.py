@@ -104,18 +104,20 @@ def _compared(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFram
     sides = now.join(before.drop("b"), ["file_id", "name"], "full")
 
     found = _carried_cells(lines, linked.where(F.col("carried") > 0))
-    new = sides.where(F.col("before_pos").isNull()).select(F.col("file_id").alias("later_id"), "pos", F.col("name").alias("new_name"))
-    old = sides.where(F.col("pos").isNull()).select(F.col("file_id").alias("later_id"), F.col("before_pos").alias("pos"), F.col("name").alias("old_name"))
-    size = linked.select(F.col("file_id").alias("later_id"), "carried", F.explode(F.sequence(F.lit(1), F.greatest("carried", F.lit(1)))).alias("k"))
-    size = size.where(F.col("carried") > 0)
+    only = sides.where(F.col("pos").isNull() | F.col("before_pos").isNull())
+    alone = only.select(F.col("file_id").alias("later_id"), F.col("pos").isNotNull().cast("int").alias("side"), F.coalesce("pos", "before_pos").alias("pos"), "name")
+    size = linked.where(F.col("carried") > 0)
+    size = size.select(F.col("file_id").alias("later_id"), "carried", F.explode(F.sequence(F.lit(1), F.col("carried"))).alias("k"))
     # a cell missing at the end of a short record counts as missing: every (record, column) gets a row
-    new_cells = size.join(new, "later_id").join(found.where("side = 1").drop("side"), ["later_id", "k", "pos"], "left")
-    old_cells = size.join(old, "later_id").join(found.where("side = 0").drop("side"), ["later_id", "k", "pos"], "left")
-    key = cells.comparable(F.col("cell"))
-    new_cells = new_cells.select("later_id", "k", "carried", "new_name", key.alias("key"))
-    old_cells = old_cells.select("later_id", "k", "old_name", key.alias("key"))
+    each = size.join(alone, "later_id").join(found, ["later_id", "side", "k", "pos"], "left")
+    each = each.select("later_id", "carried", "k", "side", "name", cells.comparable(F.col("cell")).alias("key"))
+    # equal cells of one record meet in one row, which holds at most the names of two headers
+    met = each.groupBy("later_id", "carried", "k", "key").agg(
+        F.collect_list(F.when(F.col("side") == 1, F.col("name"))).alias("new"), F.collect_list(F.when(F.col("side") == 0, F.col("name"))).alias("old")
+    )
     renames = (
-        new_cells.join(old_cells, ["later_id", "k", "key"])
+        met.select("later_id", "carried", "key", "old", F.explode("new").alias("new_name"))
+        .select("later_id", "carried", "key", "new_name", F.explode("old").alias("old_name"))
         .groupBy("later_id", "carried", "old_name", "new_name")
         .agg(F.count("*").alias("agree"), F.count_if(F.col("key") != "m").alias("told"))
         .where((F.col("agree") == F.col("carried")) & (F.col("told") > 0))

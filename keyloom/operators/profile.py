@@ -141,7 +141,7 @@ def _loads(rows: DataFrame, catalog: DataFrame, load: str, numeric: Sequence[str
     for c in [*numeric, *text]:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"), F.count_if(bad[c] if c in bad else F.lit(False)).alias(f"bad_{c}")]
     aggs += [finite(c).alias(f"n_{c}") for c in numeric]
-    counted = rows.groupBy(F.col(load).alias("load")).agg(*aggs)
+    counted = checkpointed(rows.groupBy(F.col(load).alias("load")).agg(*aggs))  # one row a load; the rows are read once for it
     known = catalog.select(F.col(load).alias("load"), F.col("feed").alias("feed_"), "written_at").dropDuplicates(["load"])
     every = counted.join(known, "load", "full")
     every = every.withColumn("feed", F.coalesce("feed_", F.concat(F.lit("\u0000"), F.col("load").cast("string"))))
