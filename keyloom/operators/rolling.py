@@ -30,6 +30,7 @@ from keyloom.session import guarded_broadcast
 LIMB = 1 << 31
 MARK = -(1 << 31)  # stands for a null day in a block
 ENTITIES = 4096  # entities multiplied at once
+HELD = 400_000  # rows of a bucket and tile held at once
 TICKER = r"^[A-Z]{3,5}(\.[A-Z])?\z"
 
 
@@ -177,10 +178,17 @@ def trailing_totals(
                     yield from solve({n: np.concatenate([h[n] for h in held]) for n in piece})
                     held = []
                 held.append(piece)
+                if sum(len(h["tile"]) for h in held) >= HELD:
+                    # rows come entity by entity: all but the last entity are complete
+                    whole = {n: np.concatenate([h[n] for h in held]) for n in piece}
+                    cut = int(np.flatnonzero(whole["entity"] != whole["entity"][-1])[-1] + 1) if (whole["entity"] != whole["entity"][-1]).any() else 0
+                    if cut:
+                        yield from solve({n: c[:cut] for n, c in whole.items()})
+                    held = [{n: c[cut:] for n, c in whole.items()}]
         if held:
             yield from solve({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
-    packed = blocks.repartition(F.col("bucket"), F.col("tile")).sortWithinPartitions("bucket", "tile")
+    packed = blocks.repartition(F.col("bucket"), F.col("tile")).sortWithinPartitions("bucket", "tile", "entity")
     done = packed.mapInArrow(run, schema)
     return done.select(F.col("entity").alias(entity), F.date_from_unix_date(F.col("day_no")).alias(day), *names)
 
