@@ -318,7 +318,7 @@ def _isotonic(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", rounds: int = 2) -> SubjectModel:
     """Fit weights and curves; ``rounds`` passes of expectation-maximization over all documents."""
-    subjects = sorted(set(subjects))
+    subjects = sorted({s for s in subjects if s is not None})
     classes = len(subjects) + 1
     labelled = checkpointed(_labelled(documents, labels, subjects, key, text))
     counts = _expected_counts(labelled, classes, None)

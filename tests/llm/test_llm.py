@@ -158,7 +158,7 @@ def test_subjects_held_out(spark):
 def test_subjects_edges(spark):
     documents = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "the guitar and the choir", "s"), (4, "knead the dough", "s"), (4, "knead the dough", "s"), (5, "x" * 200_000, "s")], "doc_id long, text string, subject string")
     labels = spark.createDataFrame([(3, "music"), (3, "music"), (4, "cooking"), (2, None), (99, "music"), (3, "unknown"), (None, "music")], "doc_id long, subject string")
-    model = subjects.train(documents, labels, ["music", "cooking", "music"])
+    model = subjects.train(documents, labels, ["music", "cooking", "music", None])
     got = {tuple(r[:2]) for r in subjects.subject_posteriors(documents, model, least=0.0).where("posterior > 0").collect()}
     assert all(k in (3, 4, 5) for k, _ in got)
     assert subjects.subject_posteriors(documents.limit(0), model).count() == 0
