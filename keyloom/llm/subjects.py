@@ -71,17 +71,19 @@ def visible(text: str) -> str:
     return text
 
 
+def words_of(part: str) -> list[str]:
+    """The words of a sentence, lower case, without accents, digits as 0."""
+    plain = part.casefold()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+    return ["0" if w.isdigit() else w for w in _WORD.findall(plain)]
+
+
 def sentences(text: str | None) -> Iterator[list[str]]:
-    """The words of each sentence, lower case, without accents, digits as 0."""
-    if not text:
-        return
-    for part in _SENTENCE.split(visible(text)):
-        plain = part.casefold()
-        if not plain.isascii():
-            plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
-        words = _WORD.findall(plain)
-        if words:
-            yield ["0" if w.isdigit() else w for w in words]
+    """The words of each sentence that has any."""
+    for part in _SENTENCE.split(visible(text)) if text else ():
+        if words := words_of(part):
+            yield words
 
 
 def _hash(feature: str) -> int:
@@ -89,10 +91,11 @@ def _hash(feature: str) -> int:
 
 
 class Featurizer:
-    """Feature buckets of sentences, with a bounded memory of those seen."""
+    """Feature buckets of sentences, with a bounded memory of those seen (posts quote each other)."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
+        self.known: dict[str, np.ndarray] = {}
 
     def bucket(self, feature: str) -> int:
         got = self.seen.get(feature)
@@ -102,25 +105,36 @@ class Featurizer:
             got = self.seen[feature] = _hash(feature)
         return got
 
-    def features(self, words: list[str]) -> list[int]:
-        bucket = self.bucket
-        out = [bucket(w) for w in words]
-        out += [bucket(a + " " + b) for a, b in zip(words, words[1:])]
-        out.append(_hash("\n" + " ".join(words)))
-        return out
+    def features(self, part: str) -> np.ndarray:
+        got = self.known.get(part)
+        if got is None:
+            words = words_of(part)
+            bucket = self.bucket
+            out = [bucket(w) for w in words]
+            out += [bucket(a + " " + b) for a, b in zip(words, words[1:])]
+            if words:
+                out.append(_hash("\n" + " ".join(words)))
+            got = np.array(out, np.int32)
+            if len(part) <= 400:
+                if len(self.known) >= 50_000:
+                    self.known.clear()
+                self.known[part] = got
+        return got
 
 
 def batch_features(texts, featurizer: Featurizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat features; where each sentence starts in them; the text each sentence belongs to."""
-    flat: list[int] = []
-    starts: list[int] = []
+    flat: list[np.ndarray] = []
     owner: list[int] = []
     for i, text in enumerate(texts):
-        for words in sentences(text):
-            starts.append(len(flat))
-            owner.append(i)
-            flat += featurizer.features(words)
-    return np.array(flat, np.int64), np.array(starts, np.int64), np.array(owner, np.int64)
+        for part in _SENTENCE.split(visible(text)) if text else ():
+            got = featurizer.features(part)
+            if len(got):
+                flat.append(got)
+                owner.append(i)
+    sizes = np.array([len(x) for x in flat], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64), starts, np.array(owner, np.int64)
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
