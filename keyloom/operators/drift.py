@@ -157,17 +157,31 @@ def schema_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     return _changes(sides, renames)
 
 
+def _descent(renames: DataFrame) -> DataFrame:
+    """``file_id, name, old_name``: the renames paired one to one.
+
+    The names that agree with each other are alike in all carried cells, so each old name of such
+    a group agrees with each new one; they are paired in order, and a name left over has no
+    ancestor.
+    """
+    group = renames.withColumn("group", F.min("old_name").over(Window.partitionBy("file_id", "new_name")))
+    inside = Window.partitionBy("file_id", "group")
+    ranked = group.withColumn("i", F.dense_rank().over(inside.orderBy("old_name"))).withColumn("j", F.dense_rank().over(inside.orderBy("new_name")))
+    return ranked.where(F.col("i") == F.col("j")).select("file_id", F.col("new_name").alias("name"), "old_name")
+
+
 def canonical_names(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """``file_id, pos, name, type, canonical``: each column with the name its oldest ancestor had.
 
-    Ancestors are found by pointer doubling over (file, name) nodes, so a chain of n files takes
-    about log2(n) joins of a few rows a file.
+    No two columns of a file have the same one.  Where a column is renamed and a new column takes
+    its old name, the column whose ancestor is older keeps the plain name; the other one is
+    ``<name>@<file_id of its ancestor>`` in all of its files.  Ancestors are found by pointer doubling
+    over (file, name) nodes, so a chain of n files takes about log2(n) joins of a few rows a file.
     """
     pairs, sides, renames = _compared(lines, catalog)
     before = pairs.select("file_id", "before_id")
-    one = renames.groupBy("file_id", F.col("new_name").alias("name")).agg(F.min("old_name").alias("old_name"))
     kept = sides.where(F.col("before_pos").isNotNull() & F.col("pos").isNotNull()).select("file_id", "name", F.col("name").alias("old_name"))
-    link = one.unionByName(kept).join(before, "file_id")
+    link = _descent(renames).unionByName(kept).join(before, "file_id")
     unions = column_unions(lines).withColumn("type", union_type())
     nodes = (
         unions.join(link, ["file_id", "name"], "left")
@@ -188,7 +202,18 @@ def canonical_names(lines: DataFrame, catalog: DataFrame) -> DataFrame:
         done = stepped.where("moved").isEmpty()
         nodes = stepped.drop("moved")
         if done:
-            return nodes.select("file_id", "pos", "name", "type", F.col("up_name").alias("canonical"))
+            return _told_apart(nodes, pairs)
+
+
+def _told_apart(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Canonical names from ancestors (``up_id, up_name``), which are unique in a file."""
+    age = pairs.select(F.col("file_id").alias("up_id"), F.struct(F.col("written_at").isNotNull(), "written_at", F.col("file_id").alias("id")).alias("age"))
+    oldest = F.min("age").over(Window.partitionBy("file_id", "up_name"))
+    aged = nodes.join(age, "up_id", "left").withColumn("younger", F.col("age") > oldest)
+    # a header's own name of that form is told apart as well
+    later = aged.where(F.col("younger") | F.col("up_name").rlike(r"@-?[0-9]+$")).select("up_id", "up_name").distinct().withColumn("later", F.lit(True))
+    name = F.when(F.col("later"), F.concat("up_name", F.lit("@"), F.col("up_id").cast("string"))).otherwise(F.col("up_name"))
+    return nodes.join(later, ["up_id", "up_name"], "left").select("file_id", "pos", "name", "type", name.alias("canonical"))
 
 
 def consistent_table(lines: DataFrame, catalog: DataFrame, fields: list[str]) -> DataFrame:
@@ -219,8 +244,4 @@ def consistent_table(lines: DataFrame, catalog: DataFrame, fields: list[str]) ->
             F.when(kind == "string", value).alias(f"{f}_text"),
         ]
     rest = F.filter(F.col("pairs"), lambda p: ~p["k"].isin(*fields)) if fields else F.col("pairs")
-    first = F.aggregate(
-        rest, F.create_map().cast("map<string,string>"),
-        lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))),
-    )
-    return record.select(*out, first.alias("other"))
+    return record.select(*out, F.map_from_entries(rest).alias("other"))

@@ -107,6 +107,27 @@ def test_drift_small(spark, rows):
     assert values[1, 3] == ("2", 2, None, None, None) and values[4, 2][0] is None
 
 
+def test_drift_rename_then_add_again(spark):
+    """A new column takes the old name of a renamed one: both keep all their cells."""
+    files = {
+        10: ["a,x", "1,2", "3,4"],
+        7: ["alpha,x", "3,4", "5,6"],
+        8: ["x,a,alpha", "6,50,5", "7,70,NA"],
+        9: ["a,beta", "70,NA", "80,8"],
+        6: ["a,p,q", "80,8,8", "90,9,11"],
+    }
+    catalog = [(10, "f", 0, 0), (7, "f", 1, 1), (8, "f", 2, 1), (9, "f", 3, 1), (6, "f", 4, 1)]
+    lines, catalog = as_lines(spark, files), as_catalog(spark, catalog)
+    names = {(r["file_id"], r["name"]): r["canonical"] for r in drift.canonical_names(lines, catalog).collect()}
+    assert names[7, "alpha"] == names[8, "alpha"] == "a" and names[8, "a"] == names[9, "a"] == names[6, "a"] == "a@8"
+    assert names[6, "p"] == names[9, "beta"] == "beta" and names[6, "q"] == "q"  # p and q both agree with beta
+    got = {(r["file_id"], r["line_no"]): (r["a"], r["a_long"], r["x"], r["other"]) for r in drift.consistent_table(lines, catalog, ["a", "x"]).collect()}
+    assert got[10, 2] == ("1", 1, "2", {}) and got[7, 3] == ("5", 5, "6", {})
+    assert got[8, 2] == ("5", 5, "6", {"a@8": "50"}) and got[8, 3] == (None, None, "7", {"a@8": "70"})
+    assert got[9, 3] == (None, None, None, {"a@8": "80", "beta": "8"})
+    assert got[6, 3] == (None, None, None, {"a@8": "90", "beta": "9", "q": "11"})
+
+
 def test_drift_brute_force(spark):
     lines = spark.read.parquet(f"{DATA}/t1.parquet").unionByName(spark.read.parquet(f"{DATA}/t2.parquet"))
     catalog = spark.read.parquet(f"{DATA}/filecatalog.parquet").where("dataset in ('t1', 't2')")
