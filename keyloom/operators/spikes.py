@@ -8,10 +8,12 @@ exact check: a spike must leave the level before and after it and return, a stuc
 long in a series that seldom repeats, high and low may have changed places.  Explicit physical
 limits (a price not above 0 or not finite, a negative volume) are applied to every row as well.
 
-Shape of the plan.  Rows are reduced to one for each feed, ticker and date with partial
-aggregates, so a series is bounded by the calendar however often rows are sent again.  The
-reduced rows are partitioned by (feed, bucket): a feed has more than one bucket only where it has
-more rows than ``feed_rows``, so a feed with a third of all rows is spread over many tasks.  A
+Shape of the plan.  Rows are partitioned by (feed, bucket): a feed has more than one bucket only
+where it has more rows than ``feed_rows``, so a feed with a third of all rows is spread over many
+tasks.  There they are reduced to one for each feed, ticker and date, so a series is bounded by the
+calendar however often rows are sent again.  A first sweep tells how far each load is from the
+medians of its series; the median over all readings of the load, in whatever task they are, says
+whether the load is written in another unit, and is joined in for the second sweep.  A
 task streams through its feeds in order of a hash of the ticker.  The first ``fit_rows`` rows of
 a (feed, bucket), which are whole series in random order, fit the forest (a forest draws 256
 readings for each tree in any case); all rows are scored with it in chunks of whole series of
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.rolling import TICKER
-from keyloom.session import guarded_broadcast
+from keyloom.session import checkpointed, guarded_broadcast, row_estimate_at_most
 
 FIELDS = ("close", "high", "low", "volume")
 KINDS = {"price": ("close", "high", "low"), "volume": ("volume",)}
@@ -120,25 +122,43 @@ def _expected(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0)).astype(np.float32)
 
 
-class Readings:
-    """The readings of one field, series after series, without gaps, with their features."""
+class Series:
+    """The readings of one field, series after series, without gaps."""
 
-    def __init__(self, series: np.ndarray, day: np.ndarray, value: np.ndarray, load: np.ndarray, offset):
-        keep = np.isfinite(value) & (value > 0)
-        self.row = np.flatnonzero(keep)
-        self.series, self.day, self.value, load = series[keep], day[keep], value[keep], load[keep]
-        n = len(self.row)
-        self.n = n
-        if not n:
+    def __init__(self, series: np.ndarray, value: np.ndarray):
+        self.keep = np.isfinite(value) & (value > 0)
+        self.row = np.flatnonzero(self.keep)
+        self.series, self.value = series[self.keep], value[self.keep]
+        self.n = len(self.row)
+        if not self.n:
             return
         self.start = np.flatnonzero(np.r_[True, np.diff(self.series) != 0])
-        self.sizes = np.diff(np.r_[self.start, n])
+        self.sizes = np.diff(np.r_[self.start, self.n])
         self.of = np.repeat(np.arange(len(self.start)), self.sizes)
-        level = np.log(self.value)
-        (self.median,) = self.quantiles(level, 0.5)
-        self.raw = level
-        moved = offset(self, load, level - self.median[self.of])
-        self.level = level = level - moved
+        self.raw = np.log(self.value)
+        (self.median,) = self.quantiles(self.raw, 0.5)
+
+    def quantiles(self, x: np.ndarray, *qs: float) -> list[np.ndarray]:
+        """Of each series; NaN is left out."""
+        order = np.argsort(x, kind="stable")  # NaN sorts last
+        order = order[np.argsort(self.of[order], kind="stable")]  # whole numbers: a radix sort
+        held = np.bincount(self.of, np.isfinite(x)).astype(np.int64)
+        return [np.nan_to_num(x[order[self.start + np.clip(np.round(q * (held - 1)).astype(np.int64), 0, None)]]) for q in qs]
+
+    def apart(self) -> np.ndarray:
+        return self.raw - self.median[self.of]
+
+
+class Readings(Series):
+    """The same with their features.  ``unit``: how far the load of a reading is moved by its unit."""
+
+    def __init__(self, series: np.ndarray, day: np.ndarray, value: np.ndarray, load: np.ndarray, unit: np.ndarray):
+        super().__init__(series, value)
+        if not self.n:
+            return
+        n, self.day = self.n, day[self.keep]
+        moved = unit_offset(self, load[self.keep], unit[self.keep])
+        self.level = level = self.raw - moved
         if moved.any():
             (self.median,) = self.quantiles(level, 0.5)
         step = np.abs(np.diff(level, prepend=level[:1]))
@@ -158,13 +178,6 @@ class Readings:
         short = same & (self.run_length <= STUCK_ROWS)
         self.repeats = np.bincount(self.of, short) / np.maximum(np.bincount(self.of, self.run_length <= STUCK_ROWS), 1)
 
-    def quantiles(self, x: np.ndarray, *qs: float) -> list[np.ndarray]:
-        """Of each series; NaN is left out."""
-        order = np.argsort(x, kind="stable")  # NaN sorts last
-        order = order[np.argsort(self.of[order], kind="stable")]  # whole numbers: a radix sort
-        held = np.bincount(self.of, np.isfinite(x)).astype(np.int64)
-        return [np.nan_to_num(x[order[self.start + np.clip(np.round(q * (held - 1)).astype(np.int64), 0, None)]]) for q in qs]
-
     def neighbours(self, level: np.ndarray) -> np.ndarray:
         """The median of up to four readings on each side."""
         n, stack = self.n, []
@@ -192,33 +205,20 @@ class Readings:
         return np.stack([squash(level / noise), squash(self.dev / noise), squash((level - mean[weekday]) / noise), np.log1p(self.place)], 1).astype(np.float32)
 
 
-def unit_offset(known: dict[int, float]):
+def unit_offset(r: Series, load: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Levels of loads written in another unit are moved back to their series."""
-
-    def offset(r: Readings, load: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        loads, index = np.unique(load, return_inverse=True)
-        order = np.lexsort((apart, index))
-        at = np.searchsorted(index[order], np.arange(len(loads)))
-        sizes = np.diff(np.r_[at, len(load)])
-        middle = apart[order][at + (sizes - 1) // 2]
-        for i, f in enumerate(loads):  # the first sight of a load with many readings is kept
-            if f in known:
-                middle[i] = known[f]
-            elif sizes[i] >= MIN_READINGS:
-                known[f] = middle[i]
-        out = np.where((np.abs(middle) > UNIT) & (sizes >= MIN_READINGS), middle, 0.0)[index]
-        if not np.abs(apart).max() > UNIT:
-            return out
-        # inside one series the load's own level says it better, where it has enough readings
-        own, cell = np.unique(r.of * len(loads) + index, return_inverse=True)
-        order = np.lexsort((apart, cell))
-        at = np.searchsorted(cell[order], np.arange(len(own)))
-        sizes = np.diff(np.r_[at, len(cell)])
-        mine = apart[order][at + (sizes - 1) // 2]
-        sure = (np.abs(mine) > UNIT) & (sizes > 2 * SPIKE_ROWS + 2)
-        return np.where(sure[cell], mine[cell], out)
-
-    return offset
+    apart = r.apart()
+    if not np.abs(apart).max() > UNIT:
+        return unit
+    # inside one series the load's own level says it better, where it has enough readings
+    loads, index = np.unique(load, return_inverse=True)
+    own, cell = np.unique(r.of * len(loads) + index, return_inverse=True)
+    order = np.lexsort((apart, cell))
+    at = np.searchsorted(cell[order], np.arange(len(own)))
+    sizes = np.diff(np.r_[at, len(cell)])
+    mine = apart[order][at + (sizes - 1) // 2]
+    sure = (np.abs(mine) > UNIT) & (sizes > 2 * SPIKE_ROWS + 2)
+    return np.where(sure[cell], mine[cell], unit)
 
 
 def spikes(r: Readings, z: float, upward_only: bool) -> np.ndarray:
@@ -251,7 +251,7 @@ def stuck(r: Readings, seldom: float) -> np.ndarray:
     return (r.run_length > STUCK_ROWS) & (r.place > 0) & (r.repeats[r.of] < seldom) & (r.size >= MIN_READINGS)
 
 
-def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, float]]], known: dict) -> dict[str, np.ndarray]:
+def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, float]]]) -> dict[str, np.ndarray]:
     """Flags of whole series; fits the forests of a source where there are none yet.
 
     A source has one forest for its prices and one for its volumes: features are in units of the
@@ -261,8 +261,8 @@ def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, f
     out = {f"{f}_{k}": np.zeros(rows, bool) for f in FIELDS for k in ("lo", "hi")}
     readings: dict[tuple[str, str], tuple[Readings, np.ndarray]] = {}
     for f in FIELDS:
-        offset = unit_offset(known.setdefault(f, {}))
-        r = Readings(c["series"], c["day"], c[f"{f}_lo"], c["load"], offset)
+        unit = c[f"{f}_unit"]
+        r = Readings(c["series"], c["day"], c[f"{f}_lo"], c["load"], unit)
         if r.n:
             readings[f, "lo"] = r, r.features()
         # the other reading of days that were sent with different ones
@@ -270,7 +270,7 @@ def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, f
         if differs.any():
             touched = np.isin(c["series"], np.unique(c["series"][differs]))
             value = np.where(differs, c[f"{f}_hi"], c[f"{f}_lo"])[touched]
-            r = Readings(c["series"][touched], c["day"][touched], value, c["load"][touched], offset)
+            r = Readings(c["series"][touched], c["day"][touched], value, c["load"][touched], unit[touched])
             if r.n:
                 r.row = np.flatnonzero(touched)[r.row]
                 readings[f, "hi"] = r, r.features()
@@ -296,26 +296,52 @@ def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, f
     return out
 
 
-def _flagger(fit_rows: int):
+def _columns(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+    c: dict[str, np.ndarray] = {"day": table["day"].to_numpy(), "load": table["load"].to_numpy()}
+    ticker = table["ticker"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    c["series"] = np.cumsum(np.r_[0, np.diff(ticker) != 0])
+    for name in names:
+        c[name] = table[name].to_numpy().astype(np.float64)
+    return c
+
+
+def _flag(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
+    """Flags of whole series of one source."""
+    c = _columns(table, [f"{f}_{k}" for f in FIELDS for k in ("lo", "hi", "unit")])
+    for f in FIELDS:
+        c[f"{f}_unit"] = np.nan_to_num(c[f"{f}_unit"])
+    flags = judge(c, state["forests"])
+    hit = np.flatnonzero(np.any(list(flags.values()), axis=0))
+    if len(hit):
+        picked = table.select(["feed", "ticker", "day"]).take(pa.array(hit)).combine_chunks()
+        values = [pa.array(np.where(flags[n][hit], c[n][hit], np.nan), from_pandas=True) for n in flags]
+        columns = [x for col in picked.columns for x in [col.combine_chunks()]]
+        yield pa.RecordBatch.from_arrays([*columns, *values], ["feed", "ticker", "day", *flags])
+
+
+def _distances(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
+    """For each load and field how many readings there are, and each distance from the series' median beyond a unit."""
+    c = _columns(table, [f"{f}_lo" for f in FIELDS])
+    feed = state["source"][0]
+    for i, f in enumerate(FIELDS):
+        r = Series(c["series"], c[f"{f}_lo"])
+        if not r.n:
+            continue
+        apart, load = r.apart(), c["load"][r.keep]
+        loads, n = np.unique(load, return_counts=True)
+        far = np.abs(apart) > UNIT
+        loads, n = np.r_[loads, load[far]], np.r_[n, np.zeros(far.sum(), np.int64)]
+        apart = pa.array(np.r_[np.full(len(loads) - far.sum(), np.nan), apart[far]], from_pandas=True)
+        columns = [pa.array([feed] * len(loads), pa.string()), pa.array(loads), pa.array(np.full(len(loads), i, np.int32)), pa.array(n), apart]
+        yield pa.RecordBatch.from_arrays(columns, ["feed", "load", "field", "n", "apart"])
+
+
+def _sweep(rows: int, solve):
+    """``solve`` over chunks of whole series of one source, of about ``rows`` rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        state: dict = {"source": None, "forests": {}, "known": {}}
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Whole series of one source."""
-            c: dict[str, np.ndarray] = {"day": table["day"].to_numpy(), "load": table["load"].to_numpy()}
-            ticker = table["ticker"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            c["series"] = np.cumsum(np.r_[0, np.diff(ticker) != 0])
-            for f in FIELDS:
-                for k in ("lo", "hi"):
-                    c[f"{f}_{k}"] = table[f"{f}_{k}"].to_numpy().astype(np.float64)
-            flags = judge(c, state["forests"], state["known"])
-            hit = np.flatnonzero(np.any(list(flags.values()), axis=0))
-            if len(hit):
-                picked = table.select(["feed", "ticker", "day"]).take(pa.array(hit)).combine_chunks()
-                values = [pa.array(np.where(flags[n][hit], c[n][hit], np.nan), from_pandas=True) for n in flags]
-                columns = [x for col in picked.columns for x in [col.combine_chunks()]]
-                yield pa.RecordBatch.from_arrays([*columns, *values], ["feed", "ticker", "day", *flags])
+        state: dict = {"source": None, "forests": {}}
 
         def source_of(b: pa.RecordBatch, i: int) -> tuple:
             return b.column("feed")[i].as_py(), b.column("bucket")[i].as_py()
@@ -333,7 +359,7 @@ def _flagger(fit_rows: int):
                 held = table.slice(cut).combine_chunks().to_batches()
                 table = table.slice(0, cut)
             if table.num_rows:
-                yield from solve(table)
+                yield from solve(table, state)
 
         import pyarrow.compute  # noqa: F401
 
@@ -346,15 +372,35 @@ def _flagger(fit_rows: int):
                 piece = batch.slice(int(a), int(b - a))
                 if source_of(piece, 0) != state["source"]:
                     yield from flush(True)
-                    state = {"source": source_of(piece, 0), "forests": {}, "known": {}}
+                    state = {"source": source_of(piece, 0), "forests": {}}
                 held.append(piece)
-                if sum(x.num_rows for x in held) >= fit_rows:
+                if sum(x.num_rows for x in held) >= rows:
                     yield from flush(False)
         yield from flush(True)
 
     return run
 
 
+def _units(days: DataFrame, rows: int) -> DataFrame:
+    """``unit_feed, unit_load`` of the loads written in another unit, with ``<field>_unit``.
+
+    A load is so if the median distance of all its readings from the medians of their series is
+    beyond ``UNIT``.  Such a median is one of the distances beyond it, so only these are ranked.
+    """
+    told = days.mapInArrow(_sweep(rows, _distances), "feed string, load long, field int, n long, apart double")
+    told = checkpointed(told)
+    key = ["feed", "load", "field"]
+    sizes = told.groupBy(*key).agg(F.sum("n").alias("n"), F.count_if(F.col("apart") < 0).alias("below"), F.count("apart").alias("far"))
+    sizes = sizes.where((F.col("n") >= MIN_READINGS) & (F.col("far") > 0)).select(*[F.col(c).alias(f"{c}_") for c in key], "n", "below", "far")
+    ranked = told.drop("n").where(F.col("apart").isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("apart")))
+    both = ranked.join(sizes, F.col("feed").eqNullSafe(F.col("feed_")) & (F.col("load") == F.col("load_")) & (F.col("field") == F.col("field_")))
+    # the readings within UNIT lie between those below and those above
+    place = F.col("rank") - 1 + F.when(F.col("apart") > 0, F.col("n") - F.col("far")).otherwise(0)
+    middle = both.where(place == F.floor((F.col("n") - 1) / 2))
+    fields = [F.max(F.when(F.col("field") == i, F.col("apart"))).alias(f"{f}_unit") for i, f in enumerate(FIELDS)]
+    return middle.groupBy(F.col("feed").alias("unit_feed"), F.col("load").alias("unit_load")).agg(*fields)
+
+
 def implausible(rows: DataFrame, fit_rows: int = 40_000, feed_rows: int = 400_000) -> DataFrame:
     """``row_id, field_name`` of implausible readings of close, high, low and volume.
 
@@ -363,22 +409,30 @@ def implausible(rows: DataFrame, fit_rows: int = 40_000, feed_rows: int = 400_00
     """
     known = rows.where(F.col("ticker").rlike(TICKER))
     finite = {f: F.when(F.col(f).cast("double").between(1e-300, 1e300) & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in FIELDS}
-    aggs = [F.min("file_id").alias("load")]
-    for f in FIELDS:
-        aggs += [F.min(finite[f]).alias(f"{f}_lo"), F.max(finite[f]).alias(f"{f}_hi")]
-    days = known.where(F.col("date").isNotNull()).groupBy("feed", "ticker", F.unix_date("date").alias("day")).agg(*aggs)
     large = rows.groupBy("feed").agg(F.count("*").alias("n")).where(F.col("n") > feed_rows)
     large = guarded_broadcast(large.select(F.col("feed").alias("large_feed"), F.ceil(F.col("n") / feed_rows).cast("int").alias("buckets")))
-    days = days.join(large, F.col("feed").eqNullSafe(F.col("large_feed")), "left").withColumn("hash", F.xxhash64("ticker"))
-    days = days.withColumn("bucket", F.pmod(F.col("hash"), F.coalesce("buckets", F.lit(1))).cast("int"))
+    dated = known.where(F.col("date").isNotNull()).select("feed", "ticker", F.unix_date("date").alias("day"), F.col("file_id").alias("load"), *[finite[f].alias(f) for f in FIELDS])
+    dated = dated.join(large, F.col("feed").eqNullSafe(F.col("large_feed")), "left")
+    dated = dated.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.coalesce("buckets", F.lit(1))).cast("int")).drop("large_feed", "buckets")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    aggs = [F.coalesce(F.min("load"), F.lit(-1)).cast("long").alias("load")]
+    for f in FIELDS:
+        aggs += [F.min(f).alias(f"{f}_lo"), F.max(f).alias(f"{f}_hi")]
+    # the partitioning by feed and bucket serves the aggregate and the sweep as well
+    days = dated.repartition(parts, "feed", "bucket").groupBy("feed", "bucket", "ticker", "day").agg(*aggs)
+    order = [F.col("feed"), F.col("bucket"), F.xxhash64("ticker"), F.col("ticker"), F.col("day")]
+    units = checkpointed(_units(days.select("feed", "bucket", "ticker", "day", "load", *[f"{f}_lo" for f in FIELDS]).sortWithinPartitions(*order), fit_rows))
+    few = row_estimate_at_most(units, 1_000_000)
+    same = F.col("feed").eqNullSafe(F.col("unit_feed")) & (F.col("load") == F.col("unit_load"))
+    days = days.join(F.broadcast(units) if few else units, same, "left")
+    if not few:  # a join of shuffled sides has another partitioning
+        days = days.repartition(parts, "feed", "bucket")
     slim = days.select(
-        "feed", "bucket", "hash", "ticker", "day", "load",
-        *[c for f in FIELDS for c in (F.col(f"{f}_lo"), F.when(F.col(f"{f}_hi") != F.col(f"{f}_lo"), F.col(f"{f}_hi")).alias(f"{f}_hi"))],
+        "feed", "bucket", "ticker", "day", "load",
+        *[c for f in FIELDS for c in (F.col(f"{f}_lo"), F.when(F.col(f"{f}_hi") != F.col(f"{f}_lo"), F.col(f"{f}_hi")).alias(f"{f}_hi"), F.col(f"{f}_unit"))],
     )
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.repartition(parts, "feed", "bucket").sortWithinPartitions("feed", "bucket", "hash", "ticker", "day").drop("hash")
     schema = "feed string, ticker string, day int, " + ", ".join(f"{f}_{k} double" for f in FIELDS for k in ("lo", "hi"))
-    flags = ordered.mapInArrow(_flagger(fit_rows), schema)
+    flags = slim.sortWithinPartitions(*order).mapInArrow(_sweep(fit_rows, _flag), schema)
 
     v = {f: F.col(f).cast("double") for f in FIELDS}
     dated = known.select("row_id", "feed", "ticker", F.unix_date("date").alias("day"), *FIELDS)

@@ -392,6 +392,23 @@ def test_load_in_another_unit(spark):
     assert spikes.implausible(spark.createDataFrame(data, STOCK)).count() == 0
 
 
+def test_late_rows_of_a_load_in_another_unit(spark):
+    """Late rows of a load are told by the whole load, however the feed is cut."""
+    data = []
+    for k, ticker in enumerate(("ABC", "DEF", "GHI", "JKL")):
+        own = stock_rows(*series(20 + k, 120), ticker=ticker, start=1000 * k)
+        for i in range(40, 80) if k == 0 else (10 + k, 90):
+            own[i][1], own[i][8] = 2, own[i][8] * 1000
+        data += own
+    df = spark.createDataFrame(data, STOCK)
+    assert spikes.implausible(df).count() == 0
+    assert spikes.implausible(df, fit_rows=100, feed_rows=100).count() == 0
+    spiked = next(r for r in data if r[0] == 2050)
+    spiked[8] *= 80
+    for sizes in ({}, {"fit_rows": 100, "feed_rows": 100}):
+        assert [tuple(r) for r in spikes.implausible(spark.createDataFrame(data, STOCK), **sizes).collect()] == [(2050, "volume")]
+
+
 def test_implausible_edges(spark):
     empty = spark.createDataFrame([], STOCK)
     assert spikes.implausible(empty).count() == 0
