@@ -157,6 +157,25 @@ def schema_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     return _changes(sides, renames)
 
 
+def appearing_alternatives(lines: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``file_id, column_name, alternative`` that a column holds and did not hold in the file before.
+
+    Unlike ``retyped`` it also tells alternatives inside a wider type, such as the first dates of a
+    string column.  Only columns that were in the file before, under this name or an old one, are
+    compared; a column without values before holds no alternative there.
+    """
+    pairs, sides, renames = _compared(lines, catalog)
+    kept = sides.where(F.col("before_pos").isNotNull() & F.col("pos").isNotNull()).select("file_id", "name", F.col("name").alias("old_name"))
+    link = kept.unionByName(renames.select("file_id", F.col("new_name").alias("name"), "old_name"))
+    tags = F.array_compact(F.array(*[F.when(F.col(f"n_{t}") > 0, F.lit(t)) for t in TAGS]))
+    held = checkpointed(column_unions(lines).select("file_id", "name", F.explode(tags).alias("alternative")))
+    old = held.select(F.col("file_id").alias("before_id"), F.col("name").alias("old_name"), "alternative")
+    seen = link.join(pairs.select("file_id", "before_id"), "file_id").join(old, ["before_id", "old_name"])
+    now = held.join(link.select("file_id", "name").distinct(), ["file_id", "name"])
+    new = now.join(seen.select("file_id", "name", "alternative").distinct(), ["file_id", "name", "alternative"], "left_anti")
+    return new.select("file_id", F.col("name").alias("column_name"), "alternative")
+
+
 def _descent(renames: DataFrame) -> DataFrame:
     """``file_id, name, old_name``: the renames paired one to one.
 

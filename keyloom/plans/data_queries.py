@@ -21,6 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(*_drift_input(spark, d))
 
 
+def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.appearing_alternatives(*_drift_input(spark, d))
+
+
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
     """Every record under one schema; the map is shown as sorted text."""
     wide = drift.consistent_table(*_drift_input(spark, d), ["a", "x", "y"])
@@ -82,7 +86,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "stock_sample"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_profile, p3_found, p3_rows, p4_found, p4_rolling, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_alternatives, p1_table, p2_found, p2_profile, p3_found, p3_rows, p4_found, p4_rolling, p5_found)}
 
 _P2_BASE = r"""
 loads as (select c.file_id, c.feed, c.written_at,

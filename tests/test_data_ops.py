@@ -128,6 +128,22 @@ def test_drift_rename_then_add_again(spark):
     assert got[6, 3] == (None, None, None, {"a@8": "90", "beta": "9", "q": "11"})
 
 
+def test_appearing_alternatives(spark, rows):
+    files = {
+        1: ["a, x", "1, 2", "2, NA", "3, 4"],
+        2: ["a, level, note", "2, missing, u", "3, 4.0, NA", "5, 6.5, v"],
+        3: ["level,a,note", "6.5,5,v", "2020-01-02,x,NA"],
+        5: ["a,note", "x,NA", "2020-01-03,NA", "7,NA"],
+        6: ["note,a", "8,y"],
+    }
+    catalog = [(1, "f", 0, 0), (2, "f", 1, 2), (3, "f", 2, 1), (5, "f", 3, 0), (6, "f", 4, 0)]
+    lines, catalog = as_lines(spark, files), as_catalog(spark, catalog)
+    got = rows(drift.appearing_alternatives(lines, catalog))
+    assert got == [(2, "level", "double"), (3, "a", "string"), (3, "level", "date"), (5, "a", "date"), (6, "note", "long")]
+    assert (5, "a", "retyped") not in rows(drift.schema_changes(lines, catalog))
+    assert drift.appearing_alternatives(lines.limit(0), catalog.limit(0)).count() == 0
+
+
 def test_drift_brute_force(spark):
     lines = spark.read.parquet(f"{DATA}/t1.parquet").unionByName(spark.read.parquet(f"{DATA}/t2.parquet"))
     catalog = spark.read.parquet(f"{DATA}/filecatalog.parquet").where("dataset in ('t1', 't2')")
