@@ -1,120 +1,139 @@
 """Implausible readings, relative to what is normal for their source.
 
 For each source (feed) an isolation forest is grown on four features of its readings: level
-(distance from the series' median), difference (distance from the readings around it), season
-(distance from the series' level on that weekday) and run length (how long the reading has not
-changed).  Every reading is scored.  Readings that the forest finds easy to isolate go on to an
-exact check: a spike must leave the level before and after it and return, a stuck stretch must be
-long in a series that seldom repeats, high and low may have changed places.  Explicit physical
-limits (a price not above 0 or not finite, a negative volume) are applied to every row as well.
-
-Shape of the plan.  Rows are partitioned by (feed, bucket): a feed has more than one bucket only
-where it has more rows than ``feed_rows``, so a feed with a third of all rows is spread over many
-tasks.  There they are reduced to one for each feed, ticker and date, so a series is bounded by the
-calendar however often rows are sent again.  A first sweep tells how far each load is from the
-medians of its series; the median over all readings of the load, in whatever task they are, says
-whether the load is written in another unit, and is joined in for the second sweep.  A
-task streams through its feeds in order of a hash of the ticker.  The first ``fit_rows`` rows of
-a (feed, bucket), which are whole series in random order, fit the forest (a forest draws 256
-readings for each tree in any case); all rows are scored with it in chunks of whole series of
-about that size, and no more than one chunk is held.  Flags go back to the rows by an equi-join, so that every
-row sent with the faulty reading is reported.
+(distance from the series' median, in units of the series' spread), difference (distance from the
+readings around it, in units of the series' noise), season (the same against what is usual on that
+weekday) and run length (how surprising it is that the reading has not changed for so long).  Every
+reading is scored.  The forest decides what is far: a reading is proposed where its score is above
+the threshold of its source, and so is its score along the feature in question alone (the other
+features at their usual value), which tells why it is isolated.  The threshold lies ``FENCE``
+times as far above the median of the source's scores along the difference as their 98th percentile does.  What follows
+is about shape only: a spike must leave the level before and after it and return within three
+rows, a stuck stretch must last for eight further rows, a filler must be a large multiple of its
+series, high and low may have changed places.  Explicit physical limits (a price not above 0 or
+not finite, a negative volume) are applied to every row as well.
+
+Trees cut the whole box of possible features, not only the range of their own readings, so the
+empty space beyond the usual readings is cut off early whether or not a tree has seen an unusual
+reading.  Features are rounded to half a unit (``STEP``) and bounded (``BOUND`` units and beyond are alike), so
+equal ones are scored once.
+
+Shape of the plan.  Distinct rows of a day are partitioned by (feed, bucket): a feed has more than
+one bucket of tickers only where it has more rows than ``feed_rows``, so a feed with a third of all
+rows is spread over many tasks, and a task holds one bucket.  A first pass tells three things of a feed,
+each from all of its buckets: a pool of readings for the trees (those whose hash is below a
+bound that depends on the size of the feed), how often each difference occurs, which gives the
+threshold, and how far each load is from the medians of its series, which tells loads written in
+another unit.  They are a few kilobytes a feed and meet every bucket of the feed in a second pass over
+the same exchange, so cutting a feed into buckets changes nothing.  Flags go back to
+the rows by an equi-join, so that every row sent with the faulty reading is reported.
 
 Defined results: rows with a null or malformed ticker belong to no series; rows without a date
 are held against the physical limits only; nulls and a volume of 0 are no readings; a series with
-fewer than ``MIN_READINGS`` readings has no normal behaviour, only limits apply.
+fewer than ``MIN_READINGS`` readings is judged with the usual noise and spread of its feed; all
+different readings of a day that was sent more than once are judged.
 """
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.rolling import TICKER
-from keyloom.session import checkpointed, guarded_broadcast, row_estimate_at_most
+from keyloom.session import checkpointed, guarded_broadcast
 
 FIELDS = ("close", "high", "low", "volume")
-KINDS = {"price": ("close", "high", "low"), "volume": ("volume",)}
+KINDS = {"price": (0, 1, 2), "volume": (3,)}
 MIN_READINGS = 12
-TREES, SAMPLE, DEPTH = 16, 256, 8
+TREES, SAMPLE, DEPTH = 64, 256, 8
+POOL = 1024  # about how many readings of a source its trees draw from
+BOUND, STEP, NOTCH = 12.0, 0.5, 0.25
+FENCE_AT, FENCE = 0.98, {"price": 5.0, "volume": 3.8}
 SPIKE_ROWS, STUCK_ROWS = 3, 8
-SELDOM = 0.2  # the share of unchanged readings up to which a series seldom repeats
-PRICE_Z, VOLUME_Z = 7.0, 5.25
 UNIT = 2.3  # log of the factor from which a whole load counts as written in another unit
+UNIT_STEP = 1 / 64  # distances of loads are counted in steps of this
 FILLER = 3.0  # log of the factor beyond the series from which a price is a filler
+LEVEL, DIFFERENCE, SEASON, RUN = range(4)
+
+
+@functools.cache
+def _cuts(dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and place of the cuts of ``TREES`` complete trees, drawn at random from the boxes they divide."""
+    rng = np.random.default_rng(seed)
+    inner = (1 << DEPTH) - 1
+    feature, cut = np.zeros((TREES, inner), np.int64), np.zeros((TREES, inner), np.float32)
+    low = np.full((TREES, 1, dims), -BOUND - STEP, np.float32)
+    high = -low
+    for level in range(DEPTH):
+        first, width = (1 << level) - 1, 1 << level
+        choice = rng.integers(0, dims, (TREES, width))
+        at = np.arange(TREES)[:, None], np.arange(width)[None, :], choice
+        value = low[at] + rng.random((TREES, width), np.float32) * (high[at] - low[at])
+        feature[:, first : first + width], cut[:, first : first + width] = choice, value
+        low, high = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)
+        high[at[0], 2 * at[1], choice] = value
+        low[at[0], 2 * at[1] + 1, choice] = value
+    return feature, cut
 
 
 class Forest:
-    """Isolation trees in arrays, all grown level by level at the same time."""
-
-    def __init__(self, x: np.ndarray, seed: int):
-        rng = np.random.default_rng(seed)
-        size = min(SAMPLE, len(x))
-        self.nodes = (1 << (DEPTH + 1)) - 1
-        self.feature = np.zeros((TREES, self.nodes), np.int8)
-        self.cut = np.full((TREES, self.nodes), np.inf, np.float32)
-        count = np.zeros((TREES, self.nodes), np.int32)
-        pick = np.stack([rng.choice(len(x), size, replace=False) for _ in range(TREES)])
-        data = x[pick]  # tree, reading, feature
-        at = np.zeros((TREES, size), np.int64)
-        tree = np.arange(TREES)[:, None]
-        for level in range(DEPTH):
-            lo, width = (1 << level) - 1, 1 << level
-            cell = (tree * width + at - lo).ravel()
-            dims = data.shape[2]
-            least = np.full((TREES * width, dims), np.inf, np.float32)
-            most = np.full((TREES * width, dims), -np.inf, np.float32)
-            flat = data.reshape(-1, dims)
-            order = np.argsort(cell, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
-            used = cell[order][starts]
-            least[used], most[used] = np.minimum.reduceat(flat[order], starts), np.maximum.reduceat(flat[order], starts)
-            taken = least <= most
-            least = np.where(taken, least, 0)
-            width_of = np.where(taken, most, 0) - least
-            spread = width_of > 0
-            choice = np.where(spread, rng.random(spread.shape), -1).argmax(1)
-            rows = np.arange(len(choice))
-            splits = spread[rows, choice]
-            value = least[rows, choice] + rng.random(len(choice), np.float32) * width_of[rows, choice]
-            self.feature[:, lo : lo + width] = choice.reshape(TREES, width)
-            self.cut[:, lo : lo + width] = np.where(splits, value, np.inf).reshape(TREES, width)
-            count[:, lo : lo + width] = np.bincount(cell, minlength=TREES * width).reshape(TREES, width)
-            go = flat[np.arange(len(cell)), choice[cell]] > np.where(splits, value, np.inf)[cell]
-            at = 2 * at + 1 + go.reshape(at.shape)
-        lo, width = (1 << DEPTH) - 1, 1 << DEPTH
-        count[:, lo:] = np.bincount((tree * width + at - lo).ravel(), minlength=TREES * width).reshape(TREES, width)
-        # a node without a cut sends all to its left child; the depth of a leaf is that of its first such ancestor
-        depth = _expected(count)
-        open_ = np.ones((TREES, 1), bool)
-        for level in range(DEPTH + 1):
-            first, width = (1 << level) - 1, 1 << level
-            depth[:, first : first + width] += level
-            if level:
-                here, above = slice(first, first + width), np.repeat(depth[:, (first - 1) // 2 : first], 2, axis=1)
-                depth[:, here] = np.where(open_, depth[:, here], above)
+    """Isolation trees over the box of all features.
+
+    A tree is cut at random to ``DEPTH``; the readings drawn for it then say at which node a place is isolated (at
+    most one of them is left), or how many share its last node.
+    """
+
+    def __init__(self, pool: np.ndarray, seed: int):
+        size, dims = min(SAMPLE, len(pool)), pool.shape[1]
+        self.feature, self.cut = _cuts(dims, seed)
+        drawn = np.random.default_rng(seed).integers(0, len(pool), (TREES, size))
+        leaf = self._leaves(pool, drawn) + np.arange(TREES)[:, None] * (1 << DEPTH)
+        counts = [np.bincount(leaf.ravel(), minlength=TREES << DEPTH).reshape(TREES, -1)]
+        for _ in range(DEPTH):
+            counts.append(counts[-1][:, ::2] + counts[-1][:, 1::2])
+        counts = counts[::-1]
+        depth, open_ = np.zeros((TREES, 1), np.float32), np.ones((TREES, 1), bool)
+        for level, count in enumerate(counts):
+            depth = np.where(open_, level + _expected(count), depth)
+            open_ = open_ & (count > 1)
             if level < DEPTH:
-                open_ = np.repeat(open_ & np.isfinite(self.cut[:, first : first + width]), 2, axis=1)
-        self.leaf = depth[:, lo:]
+                depth, open_ = np.repeat(depth, 2, axis=1), np.repeat(open_, 2, axis=1)
+        self.leaf = depth
         self.scale = float(_expected(np.array([size]))[0]) or 1.0
-        self.feature, self.cut = self.feature[:, :lo], self.cut[:, :lo]
+
+    def _leaves(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The last node that readings come to: ``rows`` are those of each tree, or of all trees alike."""
+        flat, dims, inner = np.ascontiguousarray(x, np.float32).ravel(), x.shape[1], (1 << DEPTH) - 1
+        feature, cut = self.feature.ravel(), self.cut.ravel()
+        root = np.arange(TREES, dtype=np.int64)[:, None] * inner
+        out = np.empty((TREES, rows.shape[1]), np.int64)
+        for a in range(0, rows.shape[1], 512):  # what is gathered for all trees at once stays in the cache
+            base = rows[:, a : a + 512] * dims
+            node = np.repeat(root, base.shape[1], axis=1)
+            for _ in range(DEPTH):
+                go = flat.take(base + feature.take(node)) > cut.take(node)
+                node += node
+                node += go
+                node += 1 - root
+            out[:, a : a + 512] = node - root - inner
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2^(-mean depth / expected depth): near 1 for readings that are easy to isolate."""
-        flat, dims = np.ascontiguousarray(x).ravel(), x.shape[1]
-        total = np.zeros(len(x), np.float32)
-        base = np.arange(len(x), dtype=np.int64) * dims
-        for feature, cut, leaf in zip(self.feature.astype(np.int64), self.cut, self.leaf):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                at += at + 1 + (flat.take(base + feature.take(at)) > cut.take(at))
-            total += leaf.take(at - ((1 << DEPTH) - 1))
+        total = np.take_along_axis(self.leaf, self._leaves(x, np.arange(len(x))[None, :]), 1).sum(0)
         return np.exp2(-(total / TREES) / self.scale)
 
+    def score_rounded(self, x: np.ndarray) -> np.ndarray:
+        """The scores of features as they come from ``rounded``; equal ones are scored once."""
+        codes, back = np.unique(np.ascontiguousarray(x).view(np.uint32).ravel(), return_inverse=True)
+        return self.score(codes.view(np.int8).reshape(-1, 4) * np.float32(STEP))[back]
+
 
 def _expected(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search among n readings."""
@@ -122,6 +141,32 @@ def _expected(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0)).astype(np.float32)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(x, -BOUND, BOUND) / STEP).astype(np.int8)
+
+
+class Axis:
+    """The score along one feature, the others at their usual value, for each ``NOTCH`` of it."""
+
+    def __init__(self, forest: Forest, usual: np.ndarray, feature: int):
+        self.forest, self.usual, self.feature = forest, usual, feature
+
+    @functools.cached_property
+    def scores(self) -> np.ndarray:
+        notches = np.arange(-BOUND, BOUND + NOTCH / 2, NOTCH, dtype=np.float32)
+        probe = np.tile(self.usual.astype(np.float32), (len(notches), 1))
+        probe[:, self.feature] = notches
+        return self.forest.score(probe)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.scores[notch(x)]
+
+
+def notch(x: np.ndarray) -> np.ndarray:
+    """Which notch of its axis a value falls to, from 0."""
+    return np.round((np.clip(x, -BOUND, BOUND) + BOUND) / NOTCH).astype(np.int64)
+
+
 class Series:
     """The readings of one field, series after series, without gaps."""
 
@@ -150,9 +195,13 @@ class Series:
 
 
 class Readings(Series):
-    """The same with their features.  ``unit``: how far the load of a reading is moved by its unit."""
+    """The same with what the features are made of.
 
-    def __init__(self, series: np.ndarray, day: np.ndarray, value: np.ndarray, load: np.ndarray, unit: np.ndarray):
+    ``unit``: how far the load of a reading is moved by its unit.  ``usual``: noise and spread of the source, for
+    short series.
+    """
+
+    def __init__(self, series: np.ndarray, day: np.ndarray, value: np.ndarray, load: np.ndarray, unit: np.ndarray, usual: tuple[float, float] = (0.0, 0.0)):
         super().__init__(series, value)
         if not self.n:
             return
@@ -164,19 +213,25 @@ class Readings(Series):
         step = np.abs(np.diff(level, prepend=level[:1]))
         step[self.start] = np.nan
         middle, high = self.quantiles(step, 0.5, 0.9)
-        self.move = np.maximum(1.4826 * middle, high / 1.645)
+        move = np.maximum(1.4826 * middle, high / 1.645)
         self.around = self.neighbours(level)
         self.dev = level - self.around
         middle, high = self.quantiles(np.abs(self.dev), 0.5, 0.9)
-        self.noise = np.maximum(np.maximum(1.4826 * middle, high / 1.645), np.maximum(0.5 * self.move, 1e-4))
-        self.size = self.sizes[self.of]
+        self.noise = np.maximum(np.maximum(1.4826 * middle, high / 1.645), np.maximum(0.5 * move, 1e-4))
+        (far,) = self.quantiles(np.abs(level - self.median[self.of]), 0.5)
+        self.spread = np.maximum(1.4826 * far, self.noise)
+        short = self.sizes < MIN_READINGS
+        self.noise = np.where(short & (usual[0] > 0), usual[0], self.noise)
+        self.spread = np.where(short & (usual[1] > 0), usual[1], self.spread)
         # runs of the same reading
         same = np.r_[False, (self.value[1:] == self.value[:-1]) & (self.series[1:] == self.series[:-1])]
         head = np.flatnonzero(~same)
-        self.run_length = np.repeat(np.diff(np.r_[head, n]), np.diff(np.r_[head, n]))
-        self.place = np.arange(n) - np.repeat(head, np.diff(np.r_[head, n]))
-        short = same & (self.run_length <= STUCK_ROWS)
-        self.repeats = np.bincount(self.of, short) / np.maximum(np.bincount(self.of, self.run_length <= STUCK_ROWS), 1)
+        length = np.diff(np.r_[head, n])
+        self.run_length = np.repeat(length, length)
+        self.place = np.arange(n) - np.repeat(head, length)
+        ordinary = self.run_length <= STUCK_ROWS
+        repeats = np.bincount(self.of, same & ordinary) / np.maximum(np.bincount(self.of, ordinary), 1)
+        self.repeats = np.clip(repeats, 1 / np.maximum(self.sizes, 2), 0.999)
 
     def neighbours(self, level: np.ndarray) -> np.ndarray:
         """The median of up to four readings on each side."""
@@ -195,14 +250,18 @@ class Readings(Series):
         low, high = stack[np.maximum((held - 1) // 2, 0), rows], stack[np.minimum(held // 2, 7), rows]
         return np.where(held > 0, (low + high) / 2, level)
 
-    def features(self) -> np.ndarray:
+    def features(self, upward: bool) -> np.ndarray:
+        """Level, difference, season, run length; only upwards departures of volumes count."""
         noise = self.noise[self.of]
-        level = self.level - self.median[self.of]
         weekday = self.of * 7 + (self.day + 3) % 7
-        held = np.bincount(weekday, minlength=7 * len(self.start))
-        mean = np.bincount(weekday, np.clip(level, -8 * noise - 1, 8 * noise + 1), minlength=7 * len(self.start)) / np.maximum(held, 1)
-        squash = lambda a: np.sign(a) * np.log1p(np.abs(a))
-        return np.stack([squash(level / noise), squash(self.dev / noise), squash((level - mean[weekday]) / noise), np.log1p(self.place)], 1).astype(np.float32)
+        slots = 7 * len(self.start)
+        mean = np.bincount(weekday, np.clip(self.dev, -4 * noise, 4 * noise), minlength=slots) / np.maximum(np.bincount(weekday, minlength=slots), 1)
+        difference, season = self.dev / noise, (self.dev - mean[weekday]) / noise
+        if upward:
+            difference, season = np.maximum(difference, 0), np.maximum(season, 0)
+        # each further repetition is as surprising as repetitions are rare; in units of two natural logs
+        run = self.place * -np.log(self.repeats[self.of]) / 2
+        return np.stack([(self.level - self.median[self.of]) / self.spread[self.of], difference, season, run], 1)
 
 
 def unit_offset(r: Series, load: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -221,11 +280,8 @@ def unit_offset(r: Series, load: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return np.where(sure[cell], mine[cell], unit)
 
 
-def spikes(r: Readings, z: float, upward_only: bool) -> np.ndarray:
-    """Stretches of up to three readings that leave the level before and after and return."""
-    limit = z * r.noise[r.of]
-    far = (r.dev > limit) if upward_only else (np.abs(r.dev) > limit)
-    far &= r.size >= MIN_READINGS
+def returning(r: Readings, far: np.ndarray) -> np.ndarray:
+    """Of the readings that are far, those in stretches of up to three that leave the level before and after and return."""
     sign = np.where(far, np.sign(r.dev), 0).astype(np.int8)
     out = np.zeros(r.n, bool)
     edge = np.r_[True, (sign[1:] != sign[:-1]) | (r.of[1:] != r.of[:-1])]
@@ -241,210 +297,273 @@ def spikes(r: Readings, z: float, upward_only: bool) -> np.ndarray:
         x, y = np.median(before), np.median(after)
         inside = r.level[a:b]
         gap = min(np.abs(inside - x).min(), np.abs(inside - y).min())
-        if gap > 0.8 * limit[a] and abs(x - y) < 0.5 * gap and np.all(np.sign(inside - x) == np.sign(inside - y)):
+        leaves = np.all(np.sign(inside - x) == np.sign(inside - y))
+        if leaves and gap > 0.5 * np.abs(r.dev[a:b]).min() and abs(x - y) < 0.5 * gap:
             out[a:b] = True
     return out
 
 
-def stuck(r: Readings, seldom: float) -> np.ndarray:
-    """Readings unchanged for eight or more further rows, but the first of the run."""
-    return (r.run_length > STUCK_ROWS) & (r.place > 0) & (r.repeats[r.of] < seldom) & (r.size >= MIN_READINGS)
+class Source:
+    """What all buckets of a feed know of it: a forest for its prices, one for its volumes, thresholds, units."""
+
+    def __init__(self, pools: dict[str, np.ndarray], counts: dict[str, tuple[np.ndarray, np.ndarray]], units: dict[int, np.ndarray]):
+        self.forests: dict[str, Forest] = {}
+        self.axes: dict[str, dict[int, Axis]] = {}
+        self.limit: dict[str, float] = {}
+        self.usual: dict[str, tuple[float, float]] = {}
+        self.units = units
+        for kind, pool in pools.items():
+            x = pool[:, :4].astype(np.float32) * STEP
+            forest = self.forests[kind] = Forest(x, seed=len(kind))
+            middle = np.median(x, axis=0)
+            axes = self.axes[kind] = {k: Axis(forest, middle, k) for k in (LEVEL, DIFFERENCE, RUN)}
+            note = np.ascontiguousarray(pool[:, 4:]).view(np.float16).astype(np.float64)
+            self.usual[kind] = tuple(np.exp(np.median(note, axis=0)))
+            notches, n = counts[kind]
+            scores = axes[DIFFERENCE].scores[notches]
+            order = np.argsort(scores, kind="stable")
+            upto = np.cumsum(n[order])
+            half, most = (float(scores[order][np.searchsorted(upto, q * upto[-1])]) for q in (0.5, FENCE_AT))
+            self.limit[kind] = half + FENCE[kind] * (most - half)
+
+
+def judge(c: dict[str, np.ndarray], source: Source) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``field, days, values`` of implausible readings of whole series."""
+    out = []
+    for kind, fields in KINDS.items():
+        if kind not in source.forests:
+            continue
+        forest, axes, limit = source.forests[kind], source.axes[kind], source.limit[kind]
+        held = []
+        for f in fields:
+            unit = np.array([source.units[x][f] if x in source.units else 0.0 for x in c["loads"]])[c["load_no"]]
+            for value, rows in variants(c, f):
+                r = Readings(c["series"][rows], c["day"][rows], value, c["load_no"][rows], unit[rows], source.usual[kind])
+                if r.n:
+                    held.append((f, rows, r, r.features(kind == "volume")))
+        if not held:
+            continue
+        scores = forest.score_rounded(rounded(np.concatenate([x for *_, x in held])))
+        ends = np.cumsum([r.n for _, _, r, _ in held])
+        for (f, rows, r, x), isolated in zip(held, np.split(scores > limit, ends[:-1])):
+            far = isolated & (axes[DIFFERENCE](x[:, DIFFERENCE]) > limit)
+            flags = returning(r, far)
+            # a run is judged at its end; its first reading is no case
+            last = np.flatnonzero((r.place == r.run_length - 1) & (r.run_length > STUCK_ROWS))
+            last = last[isolated[last]]
+            for i in last[axes[RUN](x[last, RUN]) > limit] if len(last) else ():
+                flags[i - r.place[i] + 1 : i + 1] = True
+            if kind == "price":
+                beyond = np.flatnonzero(far & (r.raw - r.around > FILLER) & (r.level - r.median[r.of] > FILLER))
+                if len(beyond):
+                    flags[beyond[axes[LEVEL](x[beyond, LEVEL]) > limit]] = True
+            hit = np.flatnonzero(flags)
+            out.append((f, rows[r.row[hit]], r.value[hit]))
+    return out
 
 
-def judge(c: dict[str, np.ndarray], forests: dict[str, tuple[Forest, dict[str, float]]]) -> dict[str, np.ndarray]:
-    """Flags of whole series; fits the forests of a source where there are none yet.
+def variants(c: dict[str, np.ndarray], f: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Readings of field f with the days they belong to.
 
-    A source has one forest for its prices and one for its volumes: features are in units of the
-    series' own noise, so readings of the three prices compare.
+    First the smallest reading of each day; then, for days that were sent with different ones, the next ones among the
+    smallest readings of the other days of the series.
     """
-    rows = len(c["day"])
-    out = {f"{f}_{k}": np.zeros(rows, bool) for f in FIELDS for k in ("lo", "hi")}
-    readings: dict[tuple[str, str], tuple[Readings, np.ndarray]] = {}
+    least = c["least"][f]
+    yield least, np.arange(len(least))
+    day, value, rank = c["further"][f]
+    for k in range(1, int(rank.max(initial=0)) + 1):
+        here = rank == k
+        touched = np.flatnonzero(np.isin(c["series"], np.unique(c["series"][day[here]])))
+        other = least.copy()
+        other[day[here]] = value[here]
+        yield other[touched], touched
+
+
+def _days(table: pa.Table) -> dict[str, np.ndarray]:
+    """Rows of whole series as days: the smallest reading of each field, and the further ones."""
+    ticker = table["ticker"].combine_chunks().dictionary_encode()
+    code, day, load = ticker.indices.to_numpy(zero_copy_only=False), table["day"].to_numpy(), table["load"].to_numpy()
+    order = np.lexsort((load, day, code))
+    code, day, load = code[order], day[order], load[order]
+    head = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(day) != 0)])
+    of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(order)]))
+    out: dict = {"day": day[head], "series": code[head], "tickers": ticker.dictionary, "least": [], "further": []}
+    out["loads"], out["load_no"] = np.unique(load[head], return_inverse=True)
+    several = np.zeros(len(head), bool)
+    several[of[1:][of[1:] == of[:-1]]] = True
     for f in FIELDS:
-        unit = c[f"{f}_unit"]
-        r = Readings(c["series"], c["day"], c[f"{f}_lo"], c["load"], unit)
-        if r.n:
-            readings[f, "lo"] = r, r.features()
-        # the other reading of days that were sent with different ones
-        differs = np.isfinite(c[f"{f}_hi"])
-        if differs.any():
-            touched = np.isin(c["series"], np.unique(c["series"][differs]))
-            value = np.where(differs, c[f"{f}_hi"], c[f"{f}_lo"])[touched]
-            r = Readings(c["series"][touched], c["day"][touched], value, c["load"][touched], unit[touched])
-            if r.n:
-                r.row = np.flatnonzero(touched)[r.row]
-                readings[f, "hi"] = r, r.features()
-    for kind, fields in KINDS.items():
-        if kind not in forests:
-            x = [readings[f, "lo"][1] for f in fields if (f, "lo") in readings]
-            if sum(map(len, x)) < MIN_READINGS:
-                continue
-            forests[kind] = Forest(np.concatenate(x), seed=len(kind)), {}
-        forest, usual = forests[kind]
-        for f in fields:
-            for k in ("lo", "hi"):
-                if (f, k) not in readings:
-                    continue
-                r, x = readings[f, k]
-                score = forest.score(x)
-                usual.setdefault(f, float(np.median(score)))
-                price = kind == "price"
-                flags = spikes(r, PRICE_Z if price else VOLUME_Z, not price) | stuck(r, SELDOM)
-                if price:
-                    flags |= (r.raw - r.around > FILLER) & (r.level - r.median[r.of] > FILLER) & (r.size >= MIN_READINGS)
-                out[f"{f}_{k}"][r.row[flags & (score > usual[f])]] = True
+        v = table[f].to_numpy().astype(np.float64)[order]
+        out["least"].append(np.fmin.reduceat(v, head))  # NaN where there is none
+        rows = np.flatnonzero(several[of] & np.isfinite(v))
+        pairs = np.unique(np.stack([of[rows].astype(np.float64), v[rows]], 1), axis=0)
+        d = pairs[:, 0].astype(np.int64)
+        rank = np.arange(len(d)) - np.searchsorted(d, d)
+        out["further"].append((d[rank > 0], pairs[rank > 0, 1], rank[rank > 0]))
     return out
 
 
-def _columns(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
-    c: dict[str, np.ndarray] = {"day": table["day"].to_numpy(), "load": table["load"].to_numpy()}
-    ticker = table["ticker"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    c["series"] = np.cumsum(np.r_[0, np.diff(ticker) != 0])
-    for name in names:
-        c[name] = table[name].to_numpy().astype(np.float64)
-    return c
+def _uniform(c: dict, f: int, rows: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each reading, from a hash of its ticker, day and field."""
+    word = np.array([zlib.crc32((t or "").encode()) for t in c["tickers"].to_pylist()], np.uint64)[c["series"][rows]]
+    x = (word << np.uint64(32)) ^ (c["day"][rows].astype(np.int64).astype(np.uint64) * np.uint64(8) + np.uint64(f))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def _flag(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
-    """Flags of whole series of one source."""
-    c = _columns(table, [f"{f}_{k}" for f in FIELDS for k in ("lo", "hi", "unit")])
-    for f in FIELDS:
-        c[f"{f}_unit"] = np.nan_to_num(c[f"{f}_unit"])
-    flags = judge(c, state["forests"])
-    hit = np.flatnonzero(np.any(list(flags.values()), axis=0))
-    if len(hit):
-        picked = table.select(["feed", "ticker", "day"]).take(pa.array(hit)).combine_chunks()
-        values = [pa.array(np.where(flags[n][hit], c[n][hit], np.nan), from_pandas=True) for n in flags]
-        columns = [x for col in picked.columns for x in [col.combine_chunks()]]
-        yield pa.RecordBatch.from_arrays([*columns, *values], ["feed", "ticker", "day", *flags])
-
-
-def _distances(table: pa.Table, state: dict) -> Iterator[pa.RecordBatch]:
-    """For each load and field how many readings there are, and each distance from the series' median beyond a unit."""
-    c = _columns(table, [f"{f}_lo" for f in FIELDS])
-    feed = state["source"][0]
-    for i, f in enumerate(FIELDS):
-        r = Series(c["series"], c[f"{f}_lo"])
-        if not r.n:
-            continue
-        apart, load = r.apart(), c["load"][r.keep]
-        loads, n = np.unique(load, return_counts=True)
-        far = np.abs(apart) > UNIT
-        loads, n = np.r_[loads, load[far]], np.r_[n, np.zeros(far.sum(), np.int64)]
-        apart = pa.array(np.r_[np.full(len(loads) - far.sum(), np.nan), apart[far]], from_pandas=True)
-        columns = [pa.array([feed] * len(loads), pa.string()), pa.array(loads), pa.array(np.full(len(loads), i, np.int32)), pa.array(n), apart]
-        yield pa.RecordBatch.from_arrays(columns, ["feed", "load", "field", "n", "apart"])
-
-
-def _sweep(rows: int, solve):
-    """``solve`` over chunks of whole series of one source, of about ``rows`` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        state: dict = {"source": None, "forests": {}}
-
-        def source_of(b: pa.RecordBatch, i: int) -> tuple:
-            return b.column("feed")[i].as_py(), b.column("bucket")[i].as_py()
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            table = pa.Table.from_batches(held)
-            held = []
-            if not last:  # the last series may go on
-                tickers = table["ticker"].combine_chunks()
-                same = pa.compute.equal(tickers, tickers[len(tickers) - 1]).to_numpy(zero_copy_only=False)
-                cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-                held = table.slice(cut).combine_chunks().to_batches()
-                table = table.slice(0, cut)
-            if table.num_rows:
-                yield from solve(table, state)
-
-        import pyarrow.compute  # noqa: F401
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            feeds = batch.column("feed").fill_null("\u0000").dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = np.flatnonzero((np.diff(feeds) != 0) | (np.diff(batch.column("bucket").to_numpy()) != 0)) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
-                piece = batch.slice(int(a), int(b - a))
-                if source_of(piece, 0) != state["source"]:
-                    yield from flush(True)
-                    state = {"source": source_of(piece, 0), "forests": {}}
-                held.append(piece)
-                if sum(x.num_rows for x in held) >= rows:
-                    yield from flush(False)
-        yield from flush(True)
-
-    return run
-
-
-def _units(days: DataFrame, rows: int) -> DataFrame:
-    """``unit_feed, unit_load`` of the loads written in another unit, with ``<field>_unit``.
-
-    A load is so if the median distance of all its readings from the medians of their series is
-    beyond ``UNIT``.  Such a median is one of the distances beyond it, so only these are ranked.
-    """
-    told = days.mapInArrow(_sweep(rows, _distances), "feed string, load long, field int, n long, apart double")
-    told = checkpointed(told)
-    key = ["feed", "load", "field"]
-    sizes = told.groupBy(*key).agg(F.sum("n").alias("n"), F.count_if(F.col("apart") < 0).alias("below"), F.count("apart").alias("far"))
-    sizes = sizes.where((F.col("n") >= MIN_READINGS) & (F.col("far") > 0)).select(*[F.col(c).alias(f"{c}_") for c in key], "n", "below", "far")
-    ranked = told.drop("n").where(F.col("apart").isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("apart")))
-    both = ranked.join(sizes, F.col("feed").eqNullSafe(F.col("feed_")) & (F.col("load") == F.col("load_")) & (F.col("field") == F.col("field_")))
-    # the readings within UNIT lie between those below and those above
-    place = F.col("rank") - 1 + F.when(F.col("apart") > 0, F.col("n") - F.col("far")).otherwise(0)
-    middle = both.where(place == F.floor((F.col("n") - 1) / 2))
-    fields = [F.max(F.when(F.col("field") == i, F.col("apart"))).alias(f"{f}_unit") for i, f in enumerate(FIELDS)]
-    return middle.groupBy(F.col("feed").alias("unit_feed"), F.col("load").alias("unit_load")).agg(*fields)
-
-
-def implausible(rows: DataFrame, fit_rows: int = 40_000, feed_rows: int = 400_000) -> DataFrame:
-    """``row_id, field_name`` of implausible readings of close, high, low and volume.
+UNITS, COUNTS, POOLED = 0, 1, 2
+TOLD = "feed string, what int, field int, load long, bin int, n long, pool binary"
+
 
-    ``fit_rows``: how many rows of a source fit its forest.  ``feed_rows``: how many rows of a
-    source one task handles; a larger source is spread over buckets of tickers.
+def _survey(table: pa.Table) -> pa.Table:
+    """What one bucket says of its feed: distances of loads, counts of differences, readings for the pool."""
+    c = _days(table)
+    feed, size, bucket = (table[n][0].as_py() for n in ("feed", "feed_n", "bucket"))
+    out: dict[str, list] = {k: [] for k in ("what", "field", "load", "bin", "n", "pool")}
+
+    def add(what: int, field: int, load=None, bin=None, n=None, pool=None) -> None:
+        rows = 1 if load is None and bin is None else len(load if load is not None else bin)
+        for k, v in (("what", what), ("field", field)):
+            out[k] += [v] * rows
+        for k, v in (("load", load), ("bin", bin), ("n", n)):
+            out[k] += [None] * rows if v is None else [x if x is None else int(x) for x in v]
+        out["pool"] += [pool] * rows
+
+    none = np.zeros(len(c["day"]))
+    for k, (kind, fields) in enumerate(KINDS.items()):
+        pool, seen = [], np.zeros(0)
+        for f in fields:
+            r = Readings(c["series"], c["day"], c["least"][f], c["load_no"], none)
+            if not r.n:
+                continue
+            load = c["load_no"][r.keep]
+            total = np.bincount(load, minlength=len(c["loads"]))
+            apart = r.apart()
+            far = np.abs(apart) > UNIT
+            add(UNITS, f, load=c["loads"][total > 0], n=total[total > 0])
+            if far.any():
+                cells, n = np.unique(np.stack([load[far], np.round(apart[far] / UNIT_STEP).astype(np.int64)], 1), axis=0, return_counts=True)
+                add(UNITS, f, load=c["loads"][cells[:, 0]], bin=cells[:, 1], n=n)
+            x = r.features(kind == "volume")
+            seen = np.r_[seen, x[:, DIFFERENCE]]
+            drawn = _uniform(c, f, r.row) * size * len(fields) < POOL
+            note = np.log(np.stack([r.noise[r.of[drawn]], r.spread[r.of[drawn]]], 1)).astype(np.float16)
+            pool.append(np.concatenate([rounded(x[drawn]), note.view(np.int8)], 1))
+        if len(seen):
+            n = np.bincount(notch(seen))
+            add(COUNTS, k, bin=np.flatnonzero(n), n=n[n > 0])
+            add(POOLED, k, load=[bucket], pool=np.concatenate(pool).tobytes())
+    kinds = {"what": pa.int32(), "field": pa.int32(), "load": pa.int64(), "bin": pa.int32(), "n": pa.int64(), "pool": pa.binary()}
+    columns = {k: pa.array(v, kinds[k]) for k, v in out.items()}
+    return pa.table({"feed": pa.array([feed] * len(out["what"]), pa.string()), **columns})
+
+
+def _sources(told: DataFrame) -> DataFrame:
+    """One row for each feed: ``feed, counts, pools, units``.  Adds up and ranks what the buckets say; one linear plan, so the buckets are surveyed once.
+
+    A load is in another unit if the median distance of all its readings from the medians of their series
+    is beyond ``UNIT``; the readings within lie between those far below and those far above.
     """
-    known = rows.where(F.col("ticker").rlike(TICKER))
+    summed = told.groupBy("feed", "what", "field", "load", "bin").agg(F.sum("n").alias("n"), F.first("pool").alias("pool"))
+    cells = summed.groupBy("feed", "what", "field", "load").agg(
+        F.sum(F.when(F.col("bin").isNull(), F.col("n"))).alias("all"),
+        F.sum(F.when(F.col("bin") < 0, F.col("n"))).alias("below"),
+        F.sum(F.when(F.col("bin") > 0, F.col("n"))).alias("above"),
+        F.sort_array(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("bins"),
+        F.first("pool", ignorenulls=True).alias("pool"),
+    )
+    middle = F.floor((F.col("all") - 1) / 2)
+    below, above = F.coalesce("below", F.lit(0)), F.coalesce("above", F.lit(0))
+    start = F.when(middle < below, F.lit(0).cast("bigint")).otherwise(F.col("all") - above)
+    side = F.filter("bins", lambda b: F.when(middle < below, b["bin"] < 0).otherwise(b["bin"] > 0))
+    ranked = F.aggregate(
+        side, F.struct(start.alias("upto"), F.lit(None).cast("int").alias("bin")),
+        lambda s, b: F.struct((s["upto"] + b["n"]).alias("upto"), F.when(s["bin"].isNull() & (s["upto"] + b["n"] > middle), b["bin"]).otherwise(s["bin"]).alias("bin")),
+    )["bin"]
+    shifted = (F.col("all") >= MIN_READINGS) & ((middle < below) | (middle >= F.col("all") - above))
+    kept = cells.withColumn("unit", F.when((F.col("what") == UNITS) & shifted, ranked)).where((F.col("what") != UNITS) | F.col("unit").isNotNull())
+    return kept.groupBy("feed").agg(
+        F.collect_list(F.when(F.col("what") == COUNTS, F.struct("field", "bins"))).alias("counts"),
+        F.sort_array(F.collect_list(F.when(F.col("what") == POOLED, F.struct("field", "load", "pool")))).alias("pools"),
+        F.collect_list(F.when(F.col("what") == UNITS, F.struct("field", "load", "unit"))).alias("units"),
+    )
+
+
+def _source(row: dict) -> Source:
+    names = list(KINDS)
+    pools: dict[str, list[np.ndarray]] = {}
+    for p in row["pools"]:
+        pools.setdefault(names[p["field"]], []).append(np.frombuffer(p["pool"], np.int8).reshape(-1, 8))
+    joined = {k: np.concatenate(v) for k, v in pools.items()}
+    # in an order of their own, so that buckets make no difference
+    joined = {k: v[np.lexsort(v.T)] for k, v in joined.items() if len(v)}
+    counts = {}
+    for x in row["counts"]:
+        counts[names[x["field"]]] = np.array([b["bin"] for b in x["bins"]]), np.array([b["n"] for b in x["bins"]], np.int64)
+    units: dict[int, np.ndarray] = {}
+    for u in row["units"]:
+        units.setdefault(u["load"], np.zeros(len(FIELDS)))[u["field"]] = u["unit"] * UNIT_STEP
+    return Source(joined, counts, units)
+
+
+def _flag(table: pa.Table, known: pa.Table) -> pa.Table:
+    """Implausible readings of one bucket, with what is known of its feed."""
+    schema = pa.schema([("feed", pa.string()), ("ticker", pa.string()), ("day", pa.int32()), ("field", pa.int32()), ("value", pa.float64())])
+    if not table.num_rows or not known.num_rows:
+        return schema.empty_table()
+    c = _days(table)
+    got = judge(c, _source(known.to_pylist()[0]))
+    rows = np.concatenate([r for _, r, _ in got]) if got else np.zeros(0, np.int64)
+    field = np.concatenate([np.full(len(r), f, np.int32) for f, r, _ in got]) if got else np.zeros(0, np.int32)
+    value = np.concatenate([v for _, _, v in got]) if got else np.zeros(0)
+    ticker = c["tickers"].take(pa.array(c["series"][rows]))
+    feed = pa.array([table["feed"][0].as_py()] * len(rows), pa.string())
+    return pa.Table.from_arrays([feed, ticker, pa.array(c["day"][rows].astype(np.int32)), pa.array(field), pa.array(value)], schema=schema)
+
+
+def flagged(rows: DataFrame, feed_rows: int = 200_000) -> DataFrame:
+    """``feed, ticker, day, field, value`` of the readings that are implausible in their series."""
+    known = rows.where(F.col("ticker").rlike(TICKER) & F.col("date").isNotNull())
+    # one row a feed
+    sizes = checkpointed(known.groupBy("feed").agg(F.count("*").alias("feed_n")).select(F.col("feed").alias("feed_"), "feed_n", F.ceil(F.col("feed_n") / feed_rows).cast("int").alias("buckets")))
     finite = {f: F.when(F.col(f).cast("double").between(1e-300, 1e300) & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in FIELDS}
-    large = rows.groupBy("feed").agg(F.count("*").alias("n")).where(F.col("n") > feed_rows)
-    large = guarded_broadcast(large.select(F.col("feed").alias("large_feed"), F.ceil(F.col("n") / feed_rows).cast("int").alias("buckets")))
-    dated = known.where(F.col("date").isNotNull()).select("feed", "ticker", F.unix_date("date").alias("day"), F.col("file_id").alias("load"), *[finite[f].alias(f) for f in FIELDS])
-    dated = dated.join(large, F.col("feed").eqNullSafe(F.col("large_feed")), "left")
-    dated = dated.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.coalesce("buckets", F.lit(1))).cast("int")).drop("large_feed", "buckets")
+    dated = known.select("feed", "ticker", F.unix_date("date").alias("day"), F.coalesce("file_id", F.lit(-1)).cast("long").alias("load"), *[finite[f].alias(f) for f in FIELDS])
+    dated = dated.join(guarded_broadcast(sizes), F.col("feed").eqNullSafe(F.col("feed_")))
+    dated = dated.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.col("buckets")).cast("int")).drop("feed_", "buckets")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    aggs = [F.coalesce(F.min("load"), F.lit(-1)).cast("long").alias("load")]
-    for f in FIELDS:
-        aggs += [F.min(f).alias(f"{f}_lo"), F.max(f).alias(f"{f}_hi")]
-    # the partitioning by feed and bucket serves the aggregate and the sweep as well
-    days = dated.repartition(parts, "feed", "bucket").groupBy("feed", "bucket", "ticker", "day").agg(*aggs)
-    order = [F.col("feed"), F.col("bucket"), F.xxhash64("ticker"), F.col("ticker"), F.col("day")]
-    units = checkpointed(_units(days.select("feed", "bucket", "ticker", "day", "load", *[f"{f}_lo" for f in FIELDS]).sortWithinPartitions(*order), fit_rows))
-    few = row_estimate_at_most(units, 1_000_000)
-    same = F.col("feed").eqNullSafe(F.col("unit_feed")) & (F.col("load") == F.col("unit_load"))
-    days = days.join(F.broadcast(units) if few else units, same, "left")
-    if not few:  # a join of shuffled sides has another partitioning
-        days = days.repartition(parts, "feed", "bucket")
-    slim = days.select(
-        "feed", "bucket", "ticker", "day", "load",
-        *[c for f in FIELDS for c in (F.col(f"{f}_lo"), F.when(F.col(f"{f}_hi") != F.col(f"{f}_lo"), F.col(f"{f}_hi")).alias(f"{f}_hi"), F.col(f"{f}_unit"))],
-    )
-    schema = "feed string, ticker string, day int, " + ", ".join(f"{f}_{k} double" for f in FIELDS for k in ("lo", "hi"))
-    flags = slim.sortWithinPartitions(*order).mapInArrow(_sweep(fit_rows, _flag), schema)
+    # the partitioning by feed and bucket serves the aggregate and both passes
+    key = ["feed", "bucket"]
+    days = dated.repartition(parts, *key).groupBy(*key, "feed_n", "ticker", "day", *FIELDS).agg(F.min("load").alias("load"))
+    told = days.groupBy(*key).applyInArrow(_survey, TOLD)
+    sources = _sources(told).join(guarded_broadcast(sizes), F.col("feed").eqNullSafe(F.col("feed_"))).drop("feed_", "feed_n")
+    sources = sources.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
+    flags = days.groupBy(*key).cogroup(sources.groupBy(*key)).applyInArrow(_flag, "feed string, ticker string, day int, field int, value double")
+    return checkpointed(flags)
 
+
+def implausible(rows: DataFrame, feed_rows: int = 200_000) -> DataFrame:
+    """``row_id, field_name`` of implausible readings of close, high, low and volume.
+
+    ``feed_rows``: about how many rows of a source one task handles; a larger source is spread over
+    buckets of tickers, which changes nothing in the result.
+    """
+    marks = flagged(rows, feed_rows).groupBy(F.col("feed").alias("feed_"), F.col("ticker").alias("ticker_"), F.col("day").alias("day_"))
+    # the readings of one day
+    marks = marks.agg(*[F.collect_set(F.when(F.col("field") == i, F.col("value"))).alias(f"{f}_") for i, f in enumerate(FIELDS)])
     v = {f: F.col(f).cast("double") for f in FIELDS}
-    dated = known.select("row_id", "feed", "ticker", F.unix_date("date").alias("day"), *FIELDS)
-    marks = flags.select(F.col("feed").alias("feed_"), F.col("ticker").alias("ticker_"), F.col("day").alias("day_"), *[f"{f}_{k}" for f in FIELDS for k in ("lo", "hi")])
+    dated = rows.where(F.col("ticker").rlike(TICKER)).select("row_id", "feed", "ticker", F.unix_date("date").alias("day"), *FIELDS)
     same = F.col("feed").eqNullSafe(F.col("feed_")) & (F.col("ticker") == F.col("ticker_")) & (F.col("day") == F.col("day_"))
-    both = dated.join(marks, same, "left")
-    told = {f: F.coalesce((v[f] == F.col(f"{f}_lo")) | F.lit(False), F.lit(False)) | F.coalesce((v[f] == F.col(f"{f}_hi")) | F.lit(False), F.lit(False)) for f in FIELDS}
+    both = dated.join(guarded_broadcast(marks), same, "left")
+    # explicit limits hold for every row
     limit = {f: F.coalesce(F.isnan(v[f]) | (v[f] <= 0) | (F.abs(v[f]) == float("inf")), F.lit(False)) for f in FIELDS if f != "volume"}
     limit["volume"] = F.coalesce(F.col("volume") < 0, F.lit(False))
+    told = {f: F.coalesce(F.array_contains(f"{f}_", v[f]), F.lit(False)) for f in FIELDS}
     # high and low have changed places, unless a spike or a limit in one of them explains their order
     swapped = F.coalesce(F.col("high") < F.col("low"), F.lit(False)) & F.col("day").isNotNull()
     for f in ("high", "low"):
         swapped = swapped & ~told[f] & ~limit[f]
     cases = [F.when(told[f] | limit[f] | (swapped if f in ("high", "low") else F.lit(False)), F.lit(f)) for f in FIELDS]
-    return both.select("row_id", F.explode(F.array_compact(F.array(*cases))).alias("field_name"))
+    some = F.col("ticker_").isNotNull() | F.coalesce(F.col("high") < F.col("low"), F.lit(False))
+    for f in FIELDS:
+        some = some | limit[f]
+    return both.where(some).select("row_id", F.explode(F.array_compact(F.array(*cases))).alias("field_name"))

@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,8 +394,8 @@ def test_implausible(spark):
     want.add((6001, "close"))
     df = spark.createDataFrame(data + other + resent + odd, STOCK).withColumn("bucket", F.lit("clash"))
     assert {tuple(r) for r in spikes.implausible(df).collect()} == want
-    # a feed cut into buckets and chunks gives the same
-    assert {tuple(r) for r in spikes.implausible(df, fit_rows=250, feed_rows=100).collect()} == want
+    # a feed cut into buckets gives the same
+    assert {tuple(r) for r in spikes.implausible(df, feed_rows=100).collect()} == want
 
 
 def test_load_in_another_unit(spark):
@@ -418,10 +419,10 @@ def test_late_rows_of_a_load_in_another_unit(spark):
         data += own
     df = spark.createDataFrame(data, STOCK)
     assert spikes.implausible(df).count() == 0
-    assert spikes.implausible(df, fit_rows=100, feed_rows=100).count() == 0
+    assert spikes.implausible(df, feed_rows=100).count() == 0
     spiked = next(r for r in data if r[0] == 2050)
     spiked[8] *= 80
-    for sizes in ({}, {"fit_rows": 100, "feed_rows": 100}):
+    for sizes in ({}, {"feed_rows": 100}):
         assert [tuple(r) for r in spikes.implausible(spark.createDataFrame(data, STOCK), **sizes).collect()] == [(2050, "volume")]
 
 
@@ -432,7 +433,47 @@ def test_implausible_edges(spark):
     assert spikes.implausible(spark.createDataFrame(same, STOCK)).count() == 0
     short = stock_rows(*series(4, 5))
     short[2][5] = 1e6
-    assert spikes.implausible(spark.createDataFrame(short, STOCK)).count() == 0
+    # a short series is judged by what is usual in its feed, be it alone there or not
+    assert [tuple(r) for r in spikes.implausible(spark.createDataFrame(short, STOCK)).collect()] == [(2, "close")]
+    beside = stock_rows(*series(5, 200), ticker="DEF", start=100)
+    assert [tuple(r) for r in spikes.implausible(spark.createDataFrame(short + beside, STOCK)).collect()] == [(2, "close")]
+
+
+def test_every_reading_of_a_day_is_judged(spark):
+    """A day sent three times with different readings: the one in the middle is judged as well."""
+    data = stock_rows(*series(6, 200))
+    usual = data[80][5]
+    again = [list(data[80]) for _ in range(2)]
+    again[0][0], again[0][5] = 900, usual * 3
+    again[1][0], again[1][5] = 901, 99999.0
+    got = {tuple(r) for r in spikes.implausible(spark.createDataFrame(data + again, STOCK)).collect()}
+    assert got == {(900, "close"), (901, "close")}
+
+
+def test_cutting_a_feed_changes_nothing(spark):
+    """Real data: buckets of tickers of any size give the same rows."""
+    df = spark.read.parquet("/root/testdata/sf0.01/stock_sample.parquet")
+    whole = {tuple(r) for r in spikes.implausible(df).collect()}
+    assert len(whole) > 300
+    assert {tuple(r) for r in spikes.implausible(df, feed_rows=500).collect()} == whole
+
+
+def test_the_forest_decides():
+    """The same readings under a forest that finds nothing isolated give no case."""
+    data = stock_rows(*series(7, 300))
+    data[100][5] *= 2
+    table = pa.table({
+        "feed": ["f"] * 300, "bucket": [0] * 300, "feed_n": [300] * 300, "ticker": ["ABC"] * 300, "day": pa.array(range(300), pa.int32()), "load": pa.array([1] * 300, pa.int64()),
+        **{f: pa.array([float(r[k]) for r in data]) for f, k in (("close", 5), ("high", 6), ("low", 7), ("volume", 8))},
+    })
+    told = spikes._survey(table).to_pylist()
+    counts = [{"field": k, "bins": [t for t in told if t["what"] == spikes.COUNTS and t["field"] == k]} for k in (0, 1)]
+    source = spikes._source({"counts": counts, "pools": [t for t in told if t["what"] == spikes.POOLED], "units": []})
+    days = spikes._days(table)
+    found = lambda: sorted((f, int(r)) for f, rows, _ in spikes.judge(days, source) for r in rows)
+    assert found() == [(0, 100)]
+    source.limit = dict.fromkeys(source.limit, 1.0)
+    assert found() == []
 
 
 def test_forest_isolates():
