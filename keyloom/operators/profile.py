@@ -185,7 +185,7 @@ def profile_loads(
     pick = lambda prefix: F.coalesce(F.array(*[F.coalesce(f"{prefix}{c}", F.lit(0)) for c in numeric], *[F.lit(0)] * len(text))[F.col("col")], F.lit(0)).cast("bigint")
     known = loads.select("load", "feed_no", F.coalesce("next_id", F.lit(-1)).alias("next_id"),
                          *[f"n_{c}" for c in numeric], *[F.coalesce(F.col(f"prev_row.n_{c}"), F.lit(0)).alias(f"prev_{c}") for c in numeric], *[f"next_{c}" for c in numeric])
-    placed = cells.join(guarded_broadcast(known, 300_000), "load").select(
+    placed = cells.join(guarded_broadcast(known), "load").select(
         "feed_no", "col", "num", "txt", "load", "cnt", "next_id", pick("n_").alias("n"), pick("prev_").alias("n_prev"), pick("next_").alias("n_next")
     )
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

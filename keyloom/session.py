@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "keyloom", cores: int = 8, **conf: str) -> SparkSession:
@@ -56,11 +57,14 @@ _SHIPPED: set[str] = set()
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made and set if the session runs on one
+    machine; on a cluster that is an error, as its machines share no such folder.
     """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = tempfile.mkdtemp(prefix="keyloom-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
@@ -77,23 +81,66 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the checkpoint folder: smaller than a checkpoint, and columns are read apart.
+
+    For results that are read many times; the order of rows and partitions is not kept.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/keyloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables and checkpoints that this session wrote; nothing that reads them may run later.
+
+    How many folders were removed.
+    """
+    context, jvm = spark.sparkContext, spark._jvm
+    paths = _STORED.pop(context.applicationId, [])
+    if context.getCheckpointDir() is not None:
+        paths.append(context.getCheckpointDir())
+    removed = 0
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path == context.getCheckpointDir():  # the folder stays, as later checkpoints go there
+            removed += sum(fs.delete(s.getPath(), True) for s in fs.listStatus(where))
+        else:
+            removed += fs.delete(where, True)
+    return removed
+
+
 def fresh(name: str) -> str:
     """A column name that no input column has."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
-def row_estimate_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than it must to tell."""
-    return df.limit(limit + 1).count() <= limit
+def bytes_at_most(df: DataFrame, limit: int) -> bool:
+    """Whether the rows of ``df`` take at most ``limit`` bytes; reads no more than it must to tell.
+
+    Numbers count 8 bytes, texts and nested values their length as text.
+    """
+    loose = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    fixed = 16 + 8 * len(df.columns)
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in loose]
+    length = sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) for c in quoted), F.lit(0)).cast("bigint")
+    rows = limit // fixed + 1
+    n, size = df.limit(rows).agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    return n < rows and n * fixed + size <= limit
 
 
-def guarded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def guarded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` takes at most ``max_bytes``.
 
     Beyond that the frame is returned without a hint and the join shuffles (AQE splits skewed
-    partitions).  Callers pass narrow frames (a few longs), so the bound is tens of megabytes.
+    partitions).
     """
-    return F.broadcast(df) if row_estimate_at_most(df, max_rows) else df
+    return F.broadcast(df) if bytes_at_most(df, max_bytes) else df
 
 
 def previous_row(

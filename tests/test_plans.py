@@ -61,5 +61,5 @@ def test_lines_are_parsed_inside_the_scan(spark):
 def test_broadcasts_are_checked(spark):
     from keyloom.session import guarded_broadcast
 
-    assert "ResolvedHint (strategy=broadcast)" in guarded_broadcast(spark.range(5), 5)._jdf.queryExecution().analyzed().toString()
-    assert "Hint" not in guarded_broadcast(spark.range(6), 5)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=broadcast)" in guarded_broadcast(spark.range(5), 120)._jdf.queryExecution().analyzed().toString()
+    assert "Hint" not in guarded_broadcast(spark.range(6), 120)._jdf.queryExecution().analyzed().toString()
