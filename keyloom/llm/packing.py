@@ -106,7 +106,9 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     kind = sizes.schema[key].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("size").desc(), F.col(key), F.col("piece")]
-    items = pieces_of(sizes.select(key, size), key, size, capacity).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # ordering reads its input twice (once to find the ranges), so sizes are worked out before
+    sizes = checkpointed(sizes.select(key, size))
+    items = pieces_of(sizes, key, size, capacity).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranked = checkpointed(items.withColumn("part", F.spark_partition_id()))
     # at most one row for each size, and one more for each partition's edge
     table = sorted((r["part"], -r["size"], r["n"]) for r in ranked.groupBy("part", "size").agg(F.count("*").alias("n")).collect())

@@ -32,13 +32,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pack(spark, d).where(F.col("piece") == 1).select("doc_id")
 
 
-def _model(spark: SparkSession, d: str) -> subjects.SubjectModel:
-    names = [r[0] for r in spark.read.parquet(f"{d}/subjects.parquet").select("subject").collect()]
-    return subjects.train(_documents(spark, d), spark.read.parquet(f"{d}/subject_labels.parquet"), names)
-
-
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_posteriors(_documents(spark, d), _model(spark, d)).select("doc_id", "subject")
+    names = [r[0] for r in spark.read.parquet(f"{d}/subjects.parquet").select("subject").collect()]
+    words = subjects.sentence_words(_documents(spark, d))  # texts are read once
+    model = subjects.train(words, spark.read.parquet(f"{d}/subject_labels.parquet"), names)
+    return subjects.subject_posteriors(words, model).select("doc_id", "subject")
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:

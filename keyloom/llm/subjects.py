@@ -7,14 +7,19 @@ Complement naive Bayes: the weight of a feature for a class is the negative log
 all other classes.  The classes are the subjects and "nothing".  Training starts from labelled
 documents and is refined by expectation-maximization: in a labelled document each sentence
 belongs to one of the document's labels or to nothing, in any other to any class.  Every document
-takes part in every iteration, and labelled ones once more with their labels.  The margins of the
+takes part in every round, and labelled ones once more with their labels.  The margins of the
 labelled documents calibrate one monotone curve for each subject, which turns the largest margin
 of a document's sentences into an independent posterior.
 
-Features are words, pairs of neighbouring words, and the whole sentence, hashed to ``DIMENSIONS``
-buckets; so the model, and what a pass sends to the driver, has a fixed size whatever the corpus.
-A pass over the corpus adds up expected counts inside each partition, and only counts are
-shuffled; texts never move.
+Features are words, pairs of neighbouring words, and the whole sentence, hashed to ``dimensions``
+buckets, half of them for sentences, so that the many sentences do not crowd out the words.  The number is chosen from
+the vocabulary of the corpus (within ``FEWEST`` and ``MOST``) unless it is given; so the model, and what a pass sends to
+the driver, is bounded whatever the corpus.  Texts are cleaned and split once; the hashed words are written to the
+checkpoint folder, and every pass works on these numbers.  A pass adds up expected counts inside each partition, and only
+counts are shuffled.
+
+Calibration is held out: labelled documents fall into ``FOLDS`` folds, and a document's margins come from weights
+of counts without the labels of its fold, in which it counts like any document without labels.
 
 What counts for nothing is taken away first (markup, names of quoted users, addresses,
 signatures) or learned as the class "nothing" (greetings, figures of speech, advertising).
@@ -37,9 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.session import checkpointed
+from keyloom.session import checkpointed, guarded_broadcast, stored
 
-DIMENSIONS = 1 << 18
+FEWEST, MOST = 1 << 19, 1 << 20  # buckets
+BUCKETS_A_WORD = 64  # buckets for each word of the vocabulary, as it has many more pairs and sentences
+FOLDS = 4
 SMOOTHING = 0.1
 PRIOR, SHARPNESS, DECISIVENESS = 0.3, 2.0, 4.0
 LABEL_WEIGHT = 3.0
@@ -86,35 +93,25 @@ def sentences(text: str | None) -> Iterator[list[str]]:
             yield words
 
 
-def _hash(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIMENSIONS
-
-
-class Featurizer:
-    """Feature buckets of sentences, with a bounded memory of those seen (posts quote each other)."""
+class Reader:
+    """Hashed words of sentences, with a bounded memory of those seen (posts quote each other)."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
         self.known: dict[str, np.ndarray] = {}
 
-    def bucket(self, feature: str) -> int:
-        got = self.seen.get(feature)
+    def word(self, word: str) -> int:
+        got = self.seen.get(word)
         if got is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[feature] = _hash(feature)
+            got = self.seen[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return got
 
-    def features(self, part: str) -> np.ndarray:
+    def sentence(self, part: str) -> np.ndarray:
         got = self.known.get(part)
         if got is None:
-            words = words_of(part)
-            bucket = self.bucket
-            out = [bucket(w) for w in words]
-            out += [bucket(a + " " + b) for a, b in zip(words, words[1:])]
-            if words:
-                out.append(_hash("\n" + " ".join(words)))
-            got = np.array(out, np.int32)
+            got = np.array([self.word(w) for w in words_of(part)], np.uint32).view(np.int32)
             if len(part) <= 400:
                 if len(self.known) >= 50_000:
                     self.known.clear()
@@ -122,30 +119,83 @@ class Featurizer:
         return got
 
 
-def batch_features(texts, featurizer: Featurizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat features; where each sentence starts in them; the text each sentence belongs to."""
-    flat: list[np.ndarray] = []
-    owner: list[int] = []
-    for i, text in enumerate(texts):
-        for part in _SENTENCE.split(visible(text)) if text else ():
-            got = featurizer.features(part)
-            if len(got):
-                flat.append(got)
-                owner.append(i)
-    sizes = np.array([len(x) for x in flat], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    return np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64), starts, np.array(owner, np.int64)
+def sentence_words(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<key>, words, sizes``: the hashed words of each document and how many each of its sentences has.
+
+    Written once; all that follows reads these numbers and no text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            words, sizes, word_ends, size_ends, start = [], [], [0], [0], 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                for part in _SENTENCE.split(visible(text)) if text else ():
+                    got = reader.sentence(part)
+                    if len(got):
+                        words.append(got)
+                        sizes.append(len(got))
+                word_ends.append(sum(sizes[size_ends[-1] :]) + word_ends[-1])
+                size_ends.append(len(sizes))
+                # long texts: several batches rather than one of unbounded size
+                if word_ends[-1] >= 2_000_000 or i + 1 == batch.num_rows:
+                    flat = np.concatenate(words) if words else np.zeros(0, np.int32)
+                    columns = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((word_ends, flat), (size_ends, sizes))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), *columns], [key, "words", "sizes"])
+                    words, sizes, word_ends, size_ends, start = [], [], [0], [0], i + 1
+
+    kind = documents.schema[key].dataType.simpleString()
+    return stored(documents.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, words array<int>, sizes array<int>"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
+def batch_features(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat features; where each sentence starts in them; the row each sentence belongs to.
+
+    A sentence of n words has n words, n - 1 pairs and itself.
+    """
+    words, sizes = batch.column(batch.schema.get_field_index("words")), batch.column(batch.schema.get_field_index("sizes"))
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(sizes.offsets.to_numpy()))
+    word = words.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+    size = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    if not len(size):
+        return np.zeros(0, np.int64), start, owner
+    half = np.uint64(dimensions // 2 - 1)
+    at, n = np.repeat(start, size), np.repeat(size, size)
+    place = np.arange(len(word))
+    flat = np.empty(2 * len(word), np.int64)
+    flat[place + at] = _mixed(word) & half
+    inner = np.flatnonzero(place - at < n - 1)
+    flat[inner + at[inner] + n[inner]] = _mixed((word[inner] << np.uint64(32)) + word[inner + 1]) & half
+    whole = np.add.reduceat(_mixed(word + ((place - at).astype(np.uint64) << np.uint64(32))), start)
+    flat[2 * start + 2 * size - 1] = (_mixed(whole) & half) + half + np.uint64(1)
+    return flat, 2 * start, owner
+
+
+def _dimensions(words: DataFrame) -> int:
+    """A power of two from the number of different words."""
+    n = words.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w")).first()[0]
+    return min(max(1 << (BUCKETS_A_WORD * n - 1).bit_length() if n else 0, FEWEST), MOST)
+
+
+def weights(counts: np.ndarray, total: np.ndarray | None = None, features: int | None = None) -> np.ndarray:
     """Complement naive Bayes weights, features by classes.
 
     Each feature counts as far as it tells classes apart (1 - entropy of the class given the
     feature), so that the many words that every subject uses do not outvote the few that matter.
+    ``total`` and ``features``, by default those of ``counts``, are given where ``counts`` are some of the rows.
     """
-    total = counts.sum(0)
+    total = counts.sum(0) if total is None else total
+    features = len(counts) if features is None else features
     rest = counts.sum(1, keepdims=True) - counts
-    share = (rest + SMOOTHING) / (rest.sum(0, keepdims=True) + SMOOTHING * len(counts))
+    share = (rest + SMOOTHING) / (total.sum() - total + SMOOTHING * features)
     w = -np.log(share)
     w -= w.mean(1, keepdims=True)
     prior = (total + 1) / (total + 1).sum()
@@ -156,6 +206,26 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return (w * (1 - entropy) ** SHARPNESS).astype(np.float32)
 
 
+class Counts:
+    """Expected counts of the features that occur: ``rows`` by classes, the features' numbers in ``used``."""
+
+    def __init__(self, used: np.ndarray, rows: np.ndarray, dimensions: int):
+        order = np.argsort(used, kind="stable")
+        self.used, self.rows, self.dimensions = used[order], rows[order], dimensions
+
+    def weights(self, without: Counts | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The features and their weights, as they are sent; of all counts, or for the features of a part without that part."""
+        if without is None:
+            used, rows, total = self.used, self.rows, self.rows.sum(0)
+        else:
+            used, total = without.used, np.maximum(self.rows.sum(0) - without.rows.sum(0), 0)
+            rows = np.maximum(self.rows[np.searchsorted(self.used, used)] - without.rows, 0)
+        out = np.empty(rows.shape, np.float32)
+        for a in range(0, len(rows), 50_000):
+            out[a : a + 50_000] = weights(rows[a : a + 50_000], total, self.dimensions)
+        return used.astype(np.int32), out
+
+
 def sentence_scores(model: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros((0, model.shape[1]), np.float32)
@@ -187,115 +257,103 @@ def document_margins(model: np.ndarray, flat: np.ndarray, starts: np.ndarray, ow
     return out
 
 
-def _packed(weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The rows of the model that are not zero: what is sent to the executors."""
-    if weight is None:
-        return None
-    used = np.flatnonzero(weight.any(1))
-    return used.astype(np.int32), weight[used]
-
-
-def _unpacked(sent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray | None:
+def _unpacked(sent: tuple[np.ndarray, np.ndarray] | None, dimensions: int) -> np.ndarray | None:
     if sent is None:
         return None
-    out = np.zeros((DIMENSIONS, sent[1].shape[1]), np.float32)
+    out = np.zeros((dimensions, sent[1].shape[1]), np.float32)
     out[sent[0]] = sent[1]
     return out
 
 
 class SubjectModel:
-    """Weights (features by classes, "nothing" last), the subjects, and a curve for each."""
+    """Weights of features (for the subjects and, last, "nothing"), the subjects, and a curve for each."""
 
-    def __init__(self, subjects: list[str], weight: np.ndarray, curves: np.ndarray | None = None):
-        self.subjects, self.weight, self.curves = subjects, weight, curves
+    def __init__(self, subjects: list[str], dimensions: int, weight: tuple[np.ndarray, np.ndarray], curves: np.ndarray | None = None):
+        self.subjects, self.dimensions, self.weight, self.curves = subjects, dimensions, weight, curves
 
 
-def _expected_counts(docs: DataFrame, classes: int, model: np.ndarray | None) -> np.ndarray:
-    """One pass over ``text, mask``: expected feature counts by class.
+def _expected_counts(docs: DataFrame, classes: int, dimensions: int, model: tuple[np.ndarray, np.ndarray] | None, labels: bool = True) -> Counts:
+    """One pass over ``words, sizes, mask``: expected counts.
 
-    ``mask`` has the allowed classes as bits; -1 stands for a document without labels.  Labelled
-    documents count ``LABEL_WEIGHT`` times.
+    ``mask`` has the allowed classes as bits; such documents count ``LABEL_WEIGHT`` times.  Without ``labels``
+    each document counts once with all classes allowed.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer, weight = Featurizer(), _unpacked(sent.value)
-        total = None
+        weight, total = _unpacked(sent.value, dimensions), None
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            flat, starts, owner = batch_features(texts, featurizer)
+            flat, starts, owner = batch_features(batch, dimensions)
             if not len(starts):
                 continue
-            bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            allowed = (bits[:, None] >> np.arange(classes)) & 1 > 0
-            if weight is None:
+            if labels:
+                bits = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+                allowed = (bits[:, None] >> np.arange(classes)) & 1 > 0
+            if weight is not None:
+                p = posteriors(sentence_scores(weight, flat, starts), allowed if labels else None)
+            else:
                 # to begin with, a sentence belongs to the labels of its document in equal parts
-                labels = allowed[:, :-1]
-                p = np.concatenate([labels, ~labels.any(1, keepdims=True)], 1).astype(np.float64)
+                p = np.concatenate([allowed[:, :-1], ~allowed[:, :-1].any(1, keepdims=True)], 1).astype(np.float64)
                 p /= p.sum(1, keepdims=True)
-            else:
-                p = posteriors(sentence_scores(weight, flat, starts), allowed)
-            p *= np.where(bits < 0, 1.0, LABEL_WEIGHT)[:, None]
             if total is None:
-                total = np.zeros((DIMENSIONS, classes), np.float32)
+                total = np.zeros((classes, dimensions))
             sizes = np.diff(np.r_[starts, len(flat)])
             for k in range(classes):
-                total[:, k] += np.bincount(flat, np.repeat(p[:, k], sizes), DIMENSIONS).astype(np.float32)
+                total[k] += np.bincount(flat, np.repeat(p[:, k] * (LABEL_WEIGHT if labels else 1.0), sizes), dimensions)
         if total is not None:
-            total[total < 1e-4] = 0
-            used = np.flatnonzero(total.any(1))
+            used = np.flatnonzero(total.any(0))
             for a in range(0, len(used), 20_000):
                 rows = used[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows.astype(np.int32)), *[pa.array(total[rows, k].astype(np.float64)) for k in range(classes)]],
-                    ["feature", *[f"c{k}" for k in range(classes)]],
-                )
-
-    parts = docs.select("text", "mask").mapInArrow(run, "feature int, " + ", ".join(f"c{k} double" for k in range(classes)))
-    summed = parts.groupBy("feature").agg(*[F.sum(f"c{k}").cast("float").alias(f"c{k}") for k in range(classes)])
-    table = summed.toArrow()  # at most DIMENSIONS rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *[pa.array(total[k, rows]) for k in range(classes)]], ["feature", *[f"c{k}" for k in range(classes)]])
+
+    parts = docs.select("words", "sizes", "mask").mapInArrow(run, "feature int, " + ", ".join(f"c{k} double" for k in range(classes)))
+    table = parts.groupBy("feature").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]).toArrow()  # at most MOST rows
     sent.destroy()
-    counts = np.zeros((DIMENSIONS, classes), np.float64)
-    index = table["feature"].to_numpy()
-    for k in range(classes):
-        counts[index, k] = table[f"c{k}"].to_numpy()
-    return counts
+    return Counts(table["feature"].to_numpy(), np.stack([table[f"c{k}"].to_numpy() for k in range(classes)], 1), dimensions)
+
 
+def _together(parts: list[Counts], dimensions: int, classes: int) -> Counts:
+    total = np.zeros((dimensions, classes))
+    for c in parts:
+        total[c.used] += c.rows
+    used = np.flatnonzero(total.any(1))
+    return Counts(used, total[used], dimensions)
 
-def _labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str) -> DataFrame:
-    """Documents with labels, and the labels as bits (the last bit: nothing, always allowed)."""
+
+def _masks(labels: DataFrame, subjects: list[str], key: str) -> DataFrame:
+    """The labels of each document as bits (the last bit: nothing, always allowed), and its fold."""
     bit = F.lit(0).cast("bigint")
     for i, subject in enumerate(subjects):
         bit = F.when(F.col("subject") == subject, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    known = labels.where(F.col("subject").isNull() | F.col("subject").isin(*subjects))
-    masks = known.groupBy(key).agg(F.bit_or(bit).alias("mask"))
-    masks = masks.withColumn("mask", F.col("mask").bitwiseOR(F.lit(1 << len(subjects)).cast("bigint")))
-    return documents.select(key, F.col(text).cast("string").alias("text")).join(masks, key).select("text", "mask")
+    known = labels.where(F.col(key).isNotNull() & (F.col("subject").isNull() | F.col("subject").isin(*subjects)))
+    masks = known.groupBy(F.col(key).alias("label_key")).agg(F.bit_or(bit).alias("mask"))
+    return masks.select("label_key", F.col("mask").bitwiseOR(F.lit(1 << len(subjects)).cast("bigint")).alias("mask"), F.pmod(F.xxhash64("label_key"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def _calibrate(docs: DataFrame, subjects: list[str], weight: np.ndarray) -> np.ndarray:
-    """A curve for each subject, from histograms of the labelled documents' margins."""
-    sent = docs.sparkSession.sparkContext.broadcast(_packed(weight))
+def _calibrate(labelled: DataFrame, subjects: list[str], dimensions: int, counts: Counts, folds: list[Counts]) -> np.ndarray:
+    """A curve for each subject, from histograms of the labelled documents' margins under the weights without the labels of their fold."""
     n = len(subjects)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer, weight = Featurizer(), _unpacked(sent.value)
-        hist = np.zeros((n, BINS, 2), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            got = document_margins(weight, *batch_features(texts, featurizer), len(texts))
-            bits = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = _bins(got)
-            for k in range(n):
-                np.add.at(hist[k], (at[:, k], (bits >> k) & 1), 1)
-        k, b, y = np.nonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(y), pa.array(hist[k, b, y])], ["k", "b", "y", "n"])
-
-    rows = docs.select("text", "mask").mapInArrow(run, "k bigint, b bigint, y bigint, n bigint").groupBy("k", "b", "y").agg(F.sum("n").alias("n")).collect()
-    sent.destroy()
     hist = np.zeros((n, BINS, 2))
-    for r in rows:
-        hist[r["k"], r["b"], r["y"]] = r["n"]
+    for f, own in enumerate(folds):
+        sent = labelled.sparkSession.sparkContext.broadcast(counts.weights(own))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            weight = _unpacked(sent.value, dimensions)
+            hist = np.zeros((n, BINS, 2), np.int64)
+            for batch in batches:
+                got = document_margins(weight, *batch_features(batch, dimensions), batch.num_rows)
+                bits = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = _bins(got)
+                for k in range(n):
+                    np.add.at(hist[k], (at[:, k], (bits >> k) & 1), 1)
+            k, b, y = np.nonzero(hist)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(y), pa.array(hist[k, b, y])], ["k", "b", "y", "n"])
+
+        mine = labelled.where(F.col("fold") == f).select("words", "sizes", "mask")
+        # at most BINS rows for each subject and answer
+        for r in mine.mapInArrow(run, "k bigint, b bigint, y bigint, n bigint").groupBy("k", "b", "y").agg(F.sum("n").alias("n")).collect():
+            hist[r["k"], r["b"], r["y"]] += r["n"]
+        sent.destroy()
     return np.stack([_curve(h) for h in hist])
 
 
@@ -330,37 +388,53 @@ def _isotonic(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), s) for s, _, k in pools])
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", rounds: int = 2) -> SubjectModel:
-    """Fit weights and curves; ``rounds`` passes of expectation-maximization over all documents."""
+def _read(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``documents`` may be texts, or what ``sentence_words`` made of them."""
+    return documents if {"words", "sizes"} <= set(documents.columns) else sentence_words(documents, key, text)
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", rounds: int = 2, dimensions: int | None = None) -> SubjectModel:
+    """Fit weights and curves; ``rounds`` passes (at least one) of expectation-maximization over all documents.
+
+    ``dimensions``: the number of feature buckets, a power of two; by default it follows from the vocabulary.
+    """
     subjects = sorted({s for s in subjects if s is not None})
     classes = len(subjects) + 1
-    labelled = checkpointed(_labelled(documents, labels, subjects, key, text))
-    counts = _expected_counts(labelled, classes, None)
-    if not counts.any():
-        return SubjectModel(subjects, np.zeros((DIMENSIONS, classes), np.float32))
+    words = _read(documents, key, text)
+    dimensions = dimensions or _dimensions(words)
+    if dimensions < 2 or dimensions & (dimensions - 1):
+        raise ValueError("dimensions must be a power of two")
+    masks = guarded_broadcast(checkpointed(_masks(labels, subjects, key)))
+    docs = words.join(masks, F.col(key) == F.col("label_key"), "left").select("words", "sizes", "mask", "fold")
+    labelled = checkpointed(docs.where(F.col("mask").isNotNull()))
+    counts = _expected_counts(labelled, classes, dimensions, None)
+    if not len(counts.used):
+        return SubjectModel(subjects, dimensions, (np.zeros(0, np.int32), np.zeros((0, classes), np.float32)))
     # first among the labelled documents alone, to tell their subjects from nothing
     for _ in range(2):
-        counts = _expected_counts(labelled, classes, weights(counts))
-    every = labelled.unionByName(documents.select(F.col(text).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("mask")))
-    for _ in range(rounds):
-        counts = _expected_counts(every, classes, weights(counts))
-    weight = weights(counts)
-    return SubjectModel(subjects, weight, _calibrate(labelled, subjects, weight))
-
-
-def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+        counts = _expected_counts(labelled, classes, dimensions, counts.weights())
+    folds: list[Counts] = []
+    for i in range(rounds):
+        model = counts.weights()
+        parts = [labelled] if i + 1 < rounds else [labelled.where(F.col("fold") == f) for f in range(FOLDS)]
+        folds = [_expected_counts(part, classes, dimensions, model) for part in parts]
+        counts = _together([_expected_counts(docs, classes, dimensions, model, labels=False), *folds], dimensions, classes)
+    curves = _calibrate(labelled, subjects, dimensions, counts, folds)
+    return SubjectModel(subjects, dimensions, counts.weights(), curves)
+
+
+def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "doc_id", text: str = "text", least: float = 0.9) -> DataFrame:
     """``<key>, subject, posterior`` for every subject whose posterior is at least ``least``."""
-    sent = documents.sparkSession.sparkContext.broadcast((model.subjects, _packed(model.weight), model.curves))
+    sent = documents.sparkSession.sparkContext.broadcast((model.subjects, model.dimensions, model.weight, model.curves))
+    documents = _read(documents, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subjects, weight, curves = sent.value
-        weight, featurizer = _unpacked(weight), Featurizer()
+        subjects, dimensions, weight, curves = sent.value
+        weight = _unpacked(weight, dimensions)
         for batch in batches:
             if curves is None:
                 continue
-            texts = batch.column(1).to_pylist()
-            flat, starts, owner = batch_features(texts, featurizer)
-            got = document_margins(weight, flat, starts, owner, len(texts))
+            got = document_margins(weight, *batch_features(batch, dimensions), batch.num_rows)
             p = curves[np.arange(len(subjects))[None, :], _bins(got)]
             p[got <= -REACH] = 0
             row, k = np.nonzero(p >= max(least, 1e-12))
@@ -370,4 +444,4 @@ def subject_posteriors(documents: DataFrame, model: SubjectModel, key: str = "do
             )
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, subject string, posterior double")
+    return documents.select(key, "words", "sizes").mapInArrow(run, f"{key} {kind}, subject string, posterior double")

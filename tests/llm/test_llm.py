@@ -166,6 +166,33 @@ def test_subjects_edges(spark):
     assert subjects.subject_posteriors(documents, none).count() == 0
 
 
+def test_subjects_do_not_depend_on_partitions(spark):
+    d = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/subject_labels.parquet")
+    names = [r[0] for r in spark.read.parquet(f"{d}/subjects.parquet").select("subject").collect()]
+    found = []
+    for n in (1, 24):
+        words = subjects.sentence_words(documents.repartition(n))
+        model = subjects.train(words, labels, names)
+        found.append(sorted(tuple(r) for r in subjects.subject_posteriors(words, model).select("doc_id", "subject").collect()))
+    assert found[0] == found[1] and len(found[0]) > 1000
+    with pytest.raises(ValueError):
+        subjects.train(words, labels, names, dimensions=1000)
+
+
+def test_features_of_a_sentence():
+    import pyarrow as pa
+
+    words = pa.array([[5, 7, 5, 9], [], [5, 7]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([words, pa.array([[3, 1], [], [2]], pa.list_(pa.int32()))], ["words", "sizes"])
+    flat, starts, owner = subjects.batch_features(batch, 1 << 16)
+    assert starts.tolist() == [0, 6, 8] and owner.tolist() == [0, 0, 2] and len(flat) == 12
+    assert flat[0] == flat[2] == flat[8] and flat[1] == flat[9]  # words
+    assert flat[3] == flat[10] and flat[3] != flat[4]  # pairs, in order
+    assert all(flat[i] >= 1 << 15 for i in (5, 7, 11)) and len({int(flat[i]) for i in (5, 7, 11)}) == 3  # sentences
+    assert all(flat[i] < 1 << 15 for i in (0, 1, 2, 3, 4, 6, 8, 9, 10))
+
+
 def test_margins_and_curves():
     m = subjects.margins(np.array([[3.0, 1.0, 0.0]]))
     assert m.tolist() == [[2.0, -2.0, -3.0]]
