@@ -58,3 +58,16 @@ def fetch_timings(clear: bool = True) -> pd.DataFrame:
 def approx_size(df: DataFrame) -> int:
     """Catalyst's estimate of the size in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def time_table(runs: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Totals by name over timed runs (those not fetched yet by default): calls, seconds, their mean, jobs, stages, tasks."""
+    runs = fetch_timings(clear=False) if runs is None else runs
+    table = runs.groupby("name", sort=True).agg(calls=("seconds", "size"), seconds=("seconds", "sum"), mean=("seconds", "mean"), jobs=("jobs", "sum"), stages=("stages", "sum"), tasks=("tasks", "sum"))
+    return table.reset_index().sort_values(["seconds", "name"], ascending=[False, True], ignore_index=True)
+
+
+def show_timings(runs: pd.DataFrame | None = None, most: int | None = None) -> str:
+    """The table as text, the slowest first."""
+    table = time_table(runs)
+    return (table if most is None else table.head(most)).to_string(index=False)

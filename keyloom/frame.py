@@ -2,8 +2,9 @@
 
 Two kinds exist.  A *table* may have a key and keeps duplicates; an *array* (sparse,
 N-dimensional) has its dimensions as keys and its cells as values.  Frames are immutable; every
-operator returns a new frame or a DataFrame and runs nothing.  Order by key is a property of
-presentation: only ``collect``, ``take``, ``show`` and ``partition`` sort.
+operator returns a new frame or a DataFrame.  Most run nothing; those that must look at the data to plan
+run small jobs (row numbers, ``partitioned``, ``unstack`` without names, ``load_table``, guarded broadcasts,
+carried ends).  Order by key is a property of presentation: only ``collect``, ``take``, ``show`` and ``partition`` sort.
 """
 
 from __future__ import annotations
@@ -138,11 +139,11 @@ class KeyedFrame:
 
         Partition sizes are counted, and each partition numbers its own rows from its offset.
         """
-        from keyloom.session import checkpointed
+        from keyloom.session import checkpointed, partitions
 
         df = self.df
         if self.keys:
-            parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            parts = partitions(df)
             order = self.order()
             df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         part, place = fresh("part"), fresh("place")

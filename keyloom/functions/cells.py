@@ -10,9 +10,9 @@ MISSING = ("", "NA", "missing")
 
 BLANKS = " \t"
 CELL = r',([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*(?=,|$)|[^,]*)'
-WHOLE = r"^[+-]?[0-9]+$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+WHOLE = r"^[+-]?[0-9]+\z"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def split_cells(line: Column) -> Column:
@@ -48,11 +48,42 @@ def tag(cell: Column) -> Column:
     )
 
 
+def _decimal(cell: Column) -> tuple[Column, Column, Column]:
+    """Sign, significant digits and power of ten of a number as text; exact, whatever its length.
+
+    Zero has no digits.  The power is null where the exponent has more than 18 digits.
+    """
+    part = lambda i: F.regexp_extract(cell, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", i)
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    short = F.rtrim(digits, F.lit("0"))
+    exponent = F.when(part(4) == "", F.lit(0)).otherwise(F.when(F.length(part(4)) <= 18, part(4).try_cast("bigint")))
+    return part(1), short, exponent - F.length(part(3)) + F.length(digits) - F.length(short)
+
+
 def comparable(cell: Column) -> Column:
     """A form in which two clean cells are equal if they are the same text, number or both missing."""
-    number = F.concat(F.lit("n"), (F.expr("0D") + cell.try_cast("double")).cast("string"))
+    sign, digits, power = _decimal(cell)
+    number = F.when(digits == "", F.lit("n0")).otherwise(F.concat(F.lit("n"), F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), digits, F.lit("e"), power.cast("string")))
     return (
         F.when(is_missing(cell), F.lit("m"))
-        .when(cell.rlike(NUMBER), number)
+        .when(cell.rlike(NUMBER), F.coalesce(number, F.concat(F.lit("t"), cell)))
         .otherwise(F.concat(F.lit("t"), cell))
     )
+
+
+def canonical(cell: Column) -> Column:
+    """The canonical form of a clean cell: numbers as plain decimals, other cells as they are, missing ones null.
+
+    Powers of ten beyond 40 keep their exponent.
+    """
+    sign, digits, power = _decimal(cell)
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k.cast("int"))
+    plain = (
+        F.when(F.abs(power) > 40, F.concat(digits, F.lit("e"), power.cast("string")))
+        .when(power >= 0, F.concat(digits, zeros(F.least(power, F.lit(40)))))
+        .when(n > -power, F.concat(F.substring(digits, F.lit(1), (n + power).cast("int")), F.lit("."), F.substring(digits, (n + power + 1).cast("int"), n)))
+        .otherwise(F.concat(F.lit("0."), zeros(F.least(-power - n, F.lit(40))), digits))
+    )
+    number = F.when(digits == "", F.lit("0")).otherwise(F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), plain))
+    return F.when(is_missing(cell), F.lit(None).cast("string")).when(cell.rlike(NUMBER), F.coalesce(number, cell)).otherwise(cell)

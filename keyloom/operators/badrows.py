@@ -14,7 +14,9 @@ starts a record.  In tables of physical lines every line start is such an anchor
 stretch may not cross a line end; in whole texts (``parse_text``) a line start is an anchor if
 the record parsed from it has the full number of fields and a valid first field, so that a broken
 quote neither swallows the records after it nor shifts them.
-Parsing needs no neighbours, so it runs inside the scan, without a shuffle.
+Parsing needs no neighbours, so it runs inside the scan, without a shuffle.  Lines that are plainly
+valid (no quotes, the right number of fields, each of its kind) are told and typed by Column expressions;
+only the others go through the descent.
 
 Defined results: a null line is an empty line (one field, so ``columns``); blanks are spaces and
 tabs, no other white space; the first reason that applies is the only one; columns of the input
@@ -28,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
@@ -174,29 +176,69 @@ def parse_text(text: str) -> Iterator[tuple[int, str, list | None, str | None, i
         pos = stop + 1
 
 
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_PLAIN = rf'^[ \t]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[ \t]*,[^",]*(?:,[ \t]*(?:{_NUMBER}|NA|missing)?[ \t]*){{4}},[ \t]*(?:[0-9]{{1,18}}|NA|missing)?[ \t]*\z'
+
+
+def _cell(i: int) -> Column:
+    return F.btrim(F.get(F.split("line", ","), i), F.lit(BLANKS))
+
+
+def plainly_valid() -> Column:
+    """Whether ``line`` is a valid record that needs no descent; a year 0 is left to the descent."""
+    day = F.regexp_extract("line", _PLAIN, 1)
+    return F.coalesce((day != "") & ~day.startswith("0000") & day.try_cast("date").isNotNull() & ~_cell(1).isin(*sorted(MISSING)), F.lit(False))
+
+
+_SCHEMA = ", ".join(f"{n} {k}" for n, k in FIELDS) + ", reason string, error_at int, line string"
+
+
+def _told(got: list[tuple], lines: list[str | None]) -> list[pa.Array]:
+    """Columns of parsed records: the values, the reason, the place of the error, the line of failed ones."""
+    columns = [pa.array([v[i] if v is not None else None for v, _, _ in got], ARROW[kind]) for i, (_, kind) in enumerate(FIELDS)]
+    bad = [line if r is not None else None for (_, r, _), line in zip(got, lines)]
+    return [*columns, pa.array([r for _, r, _ in got], pa.string()), pa.array([a for _, _, a in got], pa.int32()), pa.array(bad, pa.string())]
+
+
 def parse_rows(lines: DataFrame) -> DataFrame:
     """``file_id, line_no``, the seven typed fields, and ``reason, error_at, line`` of failed lines."""
-    schema = "file_id bigint, line_no int, " + ", ".join(f"{n} {k}" for n, k in FIELDS) + ", reason string, error_at int, line string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse_line(x) for x in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1)]
-            for i, (_, kind) in enumerate(FIELDS):
-                columns.append(pa.array([v[i] if v is not None else None for v, _, _ in got], ARROW[kind]))
-            bad = pa.array([r is not None for _, r, _ in got], pa.bool_())
-            columns += [
-                pa.array([r for _, r, _ in got], pa.string()),
-                pa.array([a for _, _, a in got], pa.int32()),
-                pa.compute.if_else(bad, batch.column(2), pa.scalar(None, pa.string())),
-            ]
-            names = ["file_id", "line_no", *[n for n, _ in FIELDS], "reason", "error_at", "line"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    import pyarrow.compute  # noqa: F401
+            texts = batch.column(2).to_pylist()
+            columns = [batch.column(0), batch.column(1), *_told([parse_line(x) for x in texts], texts)]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "line_no", *[n for n, _ in FIELDS], "reason", "error_at", "line"])
 
     body = lines.where(F.col("line_no") > 1).select(F.col("file_id").cast("bigint"), F.col("line_no").cast("int"), F.col("line").cast("string"))
-    return body.mapInArrow(run, schema)
+    none = lambda kind: F.lit(None).cast(kind)
+    known = body.where(plainly_valid()).select(
+        "file_id", "line_no", *[_cell(i).try_cast(kind).alias(n) for i, (n, kind) in enumerate(FIELDS)],
+        none("string").alias("reason"), none("int").alias("error_at"), none("string").alias("line"),
+    )
+    return known.unionByName(body.where(~plainly_valid()).mapInArrow(run, f"file_id bigint, line_no int, {_SCHEMA}"))
+
+
+def parse_texts(texts: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """Records of whole texts, whose quoted fields may hold line ends.
+
+    ``<key>, record_no, start``, the seven typed fields, and ``reason, error_at, line`` of stretches that are no record.
+    ``start`` and ``error_at`` are offsets in the text; after a broken quote records go on at the next validated anchor.
+    A null text has no records; the first record is not taken for a header.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "record_no", "start", *[n for n, _ in FIELDS], "reason", "error_at", "line"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = list(enumerate(parse_text(batch.column(1)[i].as_py() or ""), 1))
+                for a in range(0, len(found), 10_000):
+                    part = found[a : a + 10_000]
+                    told = _told([(v, r, at) for _, (_, _, v, r, at) in part], [raw for _, (_, raw, *_) in part])
+                    owner = batch.column(0).take(pa.array([i] * len(part)))
+                    yield pa.RecordBatch.from_arrays([owner, pa.array([n for n, _ in part], pa.int64()), pa.array([x[0] for _, x in part], pa.int64()), *told], names)
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, record_no bigint, start bigint, {_SCHEMA}")
 
 
 def bad_rows(lines: DataFrame) -> DataFrame:

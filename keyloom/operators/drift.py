@@ -17,11 +17,11 @@ name (or the reverse) are all renamed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import cells
-from keyloom.session import checkpointed, previous_row
+from keyloom.session import checkpointed, guarded_broadcast, previous_row
 
 TAGS = ("long", "double", "date", "string")
 
@@ -88,8 +88,8 @@ def _carried_cells(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _compared(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files with the file before; columns of every pair on both sides; renames."""
+def _compared(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files with the file before; columns of every pair on both sides; renames (the new and old columns that agree); unions."""
     catalog = catalog.select("file_id", "feed", "written_at", F.coalesce("carried", F.lit(0)).cast("int").alias("carried"))
     feed = F.coalesce(F.col("feed"), F.lit(""))
     files = previous_row(catalog.withColumn("feed", feed), ["feed"], "written_at", "file_id", ["file_id"])
@@ -105,43 +105,31 @@ def _compared(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFram
 
     found = _carried_cells(lines, linked.where(F.col("carried") > 0))
     only = sides.where(F.col("pos").isNull() | F.col("before_pos").isNull())
-    alone = only.select(F.col("file_id").alias("later_id"), F.col("pos").isNotNull().cast("int").alias("side"), F.coalesce("pos", "before_pos").alias("pos"), "name")
-    size = linked.where(F.col("carried") > 0)
-    size = size.select(F.col("file_id").alias("later_id"), "carried", F.explode(F.sequence(F.lit(1), F.col("carried"))).alias("k"))
-    # a cell missing at the end of a short record counts as missing: every (record, column) gets a row
-    each = size.join(alone, "later_id").join(found, ["later_id", "side", "k", "pos"], "left")
-    each = each.select("later_id", "carried", "k", "side", "name", cells.comparable(F.col("cell")).alias("key"))
-    # equal cells of one record meet in one row, which holds at most the names of two headers
-    met = each.groupBy("later_id", "carried", "k", "key").agg(
-        F.collect_list(F.when(F.col("side") == 1, F.col("name"))).alias("new"), F.collect_list(F.when(F.col("side") == 0, F.col("name"))).alias("old")
-    )
-    renames = (
-        met.select("later_id", "carried", "key", "old", F.explode("new").alias("new_name"))
-        .select("later_id", "carried", "key", "new_name", F.explode("old").alias("old_name"))
-        .groupBy("later_id", "carried", "old_name", "new_name")
-        .agg(F.count("*").alias("agree"), F.count_if(F.col("key") != "m").alias("told"))
-        .where((F.col("agree") == F.col("carried")) & (F.col("told") > 0))
-        .select(F.col("later_id").alias("file_id"), "old_name", "new_name")
+    alone = only.select(
+        F.col("file_id").alias("later_id"), F.col("pos").isNotNull().cast("int").alias("side"), F.coalesce("pos", "before_pos").alias("pos"),
+        F.struct("name", F.coalesce("type", "before_type").alias("type")).alias("column"),
+    )
+    # columns agree in all cells if they have the same cells that are not missing; such columns meet in one
+    # row, so no pairs of columns are formed
+    told = found.select("later_id", "side", "k", "pos", cells.comparable(F.col("cell")).alias("key")).where(F.col("key") != "m")
+    columns = told.join(alone, ["later_id", "side", "pos"]).groupBy("later_id", "side", "column").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("held"))
+    met = columns.groupBy("later_id", "held").agg(
+        F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.col("column")))).alias("new"), F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.col("column")))).alias("old")
     )
-    return pairs, sides, checkpointed(renames)
+    renames = met.where((F.size("new") > 0) & (F.size("old") > 0)).select(F.col("later_id").alias("file_id"), "new", "old")
+    return pairs, sides, checkpointed(renames), unions
 
 
 def _changes(sides: DataFrame, renames: DataFrame) -> DataFrame:
     only_now, only_before = F.col("before_pos").isNull(), F.col("pos").isNull()
     differ = F.col("type").isNotNull() & F.col("before_type").isNotNull() & (F.col("type") != F.col("before_type"))
     kept = sides.where(~only_now & ~only_before & differ).select("file_id", F.col("name").alias("column_name"), F.lit("retyped").alias("change_kind"))
-    new = renames.select("file_id", F.col("new_name").alias("name")).distinct()
-    old = renames.select("file_id", F.col("old_name").alias("name")).distinct()
-    renamed = new.select("file_id", F.col("name").alias("column_name"), F.lit("renamed").alias("change_kind"))
-    added = sides.where(only_now).join(new, ["file_id", "name"], "left_anti")
-    removed = sides.where(only_before).join(old, ["file_id", "name"], "left_anti")
-    moved = (
-        renames.join(sides.where(only_now).select("file_id", F.col("name").alias("new_name"), "type"), ["file_id", "new_name"])
-        .join(sides.where(only_before).select("file_id", F.col("name").alias("old_name"), "before_type"), ["file_id", "old_name"])
-        .where(differ)
-        .select("file_id", F.col("new_name").alias("column_name"), F.lit("retyped").alias("change_kind"))
-        .distinct()
-    )
+    new = renames.select("file_id", F.explode("new").alias("column"), "old")
+    olds = renames.select("file_id", F.explode("old.name").alias("name"))
+    renamed = new.select("file_id", F.col("column.name").alias("column_name"), F.lit("renamed").alias("change_kind"))
+    added = sides.where(only_now).join(new.select("file_id", F.col("column.name").alias("name")), ["file_id", "name"], "left_anti")
+    removed = sides.where(only_before).join(olds, ["file_id", "name"], "left_anti")
+    moved = new.where(F.exists("old.type", lambda t: t != F.col("column.type"))).select("file_id", F.col("column.name").alias("column_name"), F.lit("retyped").alias("change_kind"))
     label = lambda d, kind: d.select("file_id", F.col("name").alias("column_name"), F.lit(kind).alias("change_kind"))
     return kept.unionByName(renamed).unionByName(label(added, "added")).unionByName(label(removed, "removed")).unionByName(moved)
 
@@ -153,7 +141,7 @@ def schema_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     ``carried`` is the number of leading records that repeat the last records of the file before.
     Kinds: renamed, added, removed, retyped.
     """
-    _, sides, renames = _compared(lines, catalog)
+    _, sides, renames, _ = _compared(lines, catalog)
     return _changes(sides, renames)
 
 
@@ -164,29 +152,27 @@ def appearing_alternatives(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     string column.  Only columns that were in the file before, under this name or an old one, are
     compared; a column without values before holds no alternative there.
     """
-    pairs, sides, renames = _compared(lines, catalog)
-    kept = sides.where(F.col("before_pos").isNotNull() & F.col("pos").isNotNull()).select("file_id", "name", F.col("name").alias("old_name"))
-    link = kept.unionByName(renames.select("file_id", F.col("new_name").alias("name"), "old_name"))
+    pairs, sides, renames, unions = _compared(lines, catalog)
+    kept = sides.where(F.col("before_pos").isNotNull() & F.col("pos").isNotNull()).select("file_id", F.concat(F.lit("="), F.col("name")).alias("group"), "name")
+    group = F.concat(F.lit(">"), F.col("new")[0]["name"])
+    now = kept.unionByName(renames.select("file_id", group.alias("group"), F.explode("new.name").alias("name")))
+    before = kept.unionByName(renames.select("file_id", group.alias("group"), F.explode("old.name").alias("name")))
     tags = F.array_compact(F.array(*[F.when(F.col(f"n_{t}") > 0, F.lit(t)) for t in TAGS]))
-    held = checkpointed(column_unions(lines).select("file_id", "name", F.explode(tags).alias("alternative")))
-    old = held.select(F.col("file_id").alias("before_id"), F.col("name").alias("old_name"), "alternative")
-    seen = link.join(pairs.select("file_id", "before_id"), "file_id").join(old, ["before_id", "old_name"])
-    now = held.join(link.select("file_id", "name").distinct(), ["file_id", "name"])
-    new = now.join(seen.select("file_id", "name", "alternative").distinct(), ["file_id", "name", "alternative"], "left_anti")
+    held = unions.select("file_id", "name", F.explode(tags).alias("alternative"))
+    old = held.select(F.col("file_id").alias("before_id"), "name", "alternative")
+    seen = before.join(pairs.select("file_id", "before_id"), "file_id").join(old, ["before_id", "name"]).select("file_id", "group", "alternative").distinct()
+    new = held.join(now, ["file_id", "name"]).join(seen, ["file_id", "group", "alternative"], "left_anti")
     return new.select("file_id", F.col("name").alias("column_name"), "alternative")
 
 
 def _descent(renames: DataFrame) -> DataFrame:
     """``file_id, name, old_name``: the renames paired one to one.
 
-    The names that agree with each other are alike in all carried cells, so each old name of such
-    a group agrees with each new one; they are paired in order, and a name left over has no
+    Columns that agree are alike in all carried cells; they are paired in order, and a name left over has no
     ancestor.
     """
-    group = renames.withColumn("group", F.min("old_name").over(Window.partitionBy("file_id", "new_name")))
-    inside = Window.partitionBy("file_id", "group")
-    ranked = group.withColumn("i", F.dense_rank().over(inside.orderBy("old_name"))).withColumn("j", F.dense_rank().over(inside.orderBy("new_name")))
-    return ranked.where(F.col("i") == F.col("j")).select("file_id", F.col("new_name").alias("name"), "old_name")
+    pair = F.explode(F.arrays_zip(F.col("new.name").alias("new"), F.col("old.name").alias("old"))).alias("pair")
+    return renames.select("file_id", pair).select("file_id", F.col("pair.new").alias("name"), F.col("pair.old").alias("old_name")).where(F.col("name").isNotNull() & F.col("old_name").isNotNull())
 
 
 def canonical_names(lines: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -197,11 +183,10 @@ def canonical_names(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     ``<name>@<file_id of its ancestor>`` in all of its files.  Ancestors are found by pointer doubling
     over (file, name) nodes, so a chain of n files takes about log2(n) joins of a few rows a file.
     """
-    pairs, sides, renames = _compared(lines, catalog)
+    pairs, sides, renames, unions = _compared(lines, catalog)
     before = pairs.select("file_id", "before_id")
     kept = sides.where(F.col("before_pos").isNotNull() & F.col("pos").isNotNull()).select("file_id", "name", F.col("name").alias("old_name"))
     link = _descent(renames).unionByName(kept).join(before, "file_id")
-    unions = column_unions(lines).withColumn("type", union_type())
     nodes = (
         unions.join(link, ["file_id", "name"], "left")
         .select(
@@ -235,32 +220,39 @@ def _told_apart(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(later, ["up_id", "up_name"], "left").select("file_id", "pos", "name", "type", name.alias("canonical"))
 
 
+def _branches(value: Column, tag: Column) -> list[Column]:
+    """The typed branches of a cell: the one of its own alternative is set (a long is a double as well)."""
+    return [
+        F.when(tag == "long", value.try_cast("bigint")).alias("long"),
+        F.when(tag.isin("long", "double"), value.try_cast("double")).alias("double"),
+        F.when(tag == "date", value.try_cast("date")).alias("date"),
+        F.when(tag == "string", value).alias("text"),
+    ]
+
+
 def consistent_table(lines: DataFrame, catalog: DataFrame, fields: list[str]) -> DataFrame:
     """Every record of every file under one schema.
 
-    For each name of ``fields`` (canonical names) there are typed branches ``<f>_long``,
-    ``<f>_double``, ``<f>_date``, ``<f>_text``, of which the branch of the cell's own alternative
-    is set, and the canonical conversion ``<f>`` (text).  All other columns come in the map
-    ``other``.  Missing cells are null.
+    For each name of ``fields`` (canonical names) there are the canonical conversion ``<f>`` (numbers
+    as plain decimals, days and texts as they are) and the typed branches ``<f>_long``, ``<f>_double``,
+    ``<f>_date``, ``<f>_text``, of which that of the cell's own alternative is set.  All other columns
+    come in the map ``other`` from canonical name to ``canonical, long, double, date, text``.  Missing cells
+    are null, and not in the map.
     """
     names = canonical_names(lines, catalog)
     shape = names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "canonical"))).alias("shape"))
     body = lines.where(F.col("line_no") > 1).select("file_id", "line_no", cells.split_cells(F.col("line")).alias("cells"))
-    wide = body.join(shape, "file_id", "left")
-    pairs = F.transform(F.col("cells"), lambda c, i: F.struct(F.coalesce(F.col("shape")[i], F.lit(None)).alias("k"), cells.clean(c).alias("v")))
+    # a few names a file: where they are few enough in all, lines stay where they are
+    wide = body.join(guarded_broadcast(checkpointed(shape)), "file_id", "left")
+    pairs = F.transform(F.col("cells"), lambda c, i: F.struct(F.col("shape")[i].alias("k"), cells.clean(c).alias("v")))
     pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & ~cells.is_missing(p["v"]))
     record = wide.select("file_id", "line_no", pairs.alias("pairs"))
+    value = lambda f: F.try_element_at(F.transform(F.filter("pairs", lambda p: p["k"] == f), lambda p: p["v"]), F.lit(1))
+    record = record.withColumns({f"__{i}": value(f) for i, f in enumerate(fields)})
     out = [F.col("file_id"), F.col("line_no")]
-    for f in fields:
-        own = F.filter(F.col("pairs"), lambda p: p["k"] == f)  # noqa: B023 (evaluated at once)
-        value = F.try_element_at(F.transform(own, lambda p: p["v"]), F.lit(1))
-        kind = cells.tag(value)
-        out += [
-            value.alias(f),
-            F.when(kind == "long", value.try_cast("bigint")).alias(f"{f}_long"),
-            F.when(kind.isin("long", "double"), value.try_cast("double")).alias(f"{f}_double"),
-            F.when(kind == "date", value.try_cast("date")).alias(f"{f}_date"),
-            F.when(kind == "string", value).alias(f"{f}_text"),
-        ]
-    rest = F.filter(F.col("pairs"), lambda p: ~p["k"].isin(*fields)) if fields else F.col("pairs")
-    return record.select(*out, F.map_from_entries(rest).alias("other"))
+    for i, f in enumerate(fields):
+        cell = F.col(f"__{i}")
+        out += [cells.canonical(cell).alias(f), *[b.alias(f"{f}_{n}") for b, n in zip(_branches(cell, cells.tag(cell)), ("long", "double", "date", "text"))]]
+    rest = F.filter("pairs", lambda p: ~p["k"].isin(*fields)) if fields else F.col("pairs")
+    typed = lambda p: F.struct(p["k"], F.struct(cells.canonical(p["v"]).alias("canonical"), *_branches(p["v"], cells.tag(p["v"]))))
+    return record.select(*out, F.map_from_entries(F.transform(rest, typed)).alias("other"))

@@ -36,8 +36,8 @@ def mask(t: KeyedFrame, condition: Column) -> KeyedFrame:
 def at(t: KeyedFrame, *index: Any) -> Any:
     """Index by key, one entry a dimension.
 
-    A scalar picks one value, a ``range`` or ``slice`` an inclusive stretch (a slice without ends
-    everything), a list several values.  With scalars only the cell is returned, and KeyError is
+    A scalar picks one value, a ``slice`` a stretch with both ends (without ends everything), a
+    ``range`` its numbers (without its end, as always in Python), a list several values.  With scalars only the cell is returned, and KeyError is
     raised if there is none; otherwise the result is a frame without the dimensions given as scalars.
     """
     if len(index) != len(t.keys):
@@ -53,7 +53,7 @@ def at(t: KeyedFrame, *index: Any) -> Any:
             if i.stop is not None:
                 conditions.append(c <= F.lit(i.stop))
         elif isinstance(i, range):
-            conditions.append(c.isin(list(i)) if i.step != 1 else c.between(i.start, i.stop - 1) if len(i) else F.lit(False))
+            conditions.append(_within(c, i))
         elif isinstance(i, (list, tuple, set)):
             if isinstance(i, list) and any(a > b for a, b in zip(i, i[1:])):
                 raise IndexError("a list of keys must be sorted")
@@ -71,6 +71,14 @@ def at(t: KeyedFrame, *index: Any) -> Any:
     return KeyedFrame(found.select(*[quoted(c) for c in [*rest, *t.values]]), rest, t.kind)
 
 
+def _within(c: Column, numbers: range) -> Column:
+    """Whether a whole number is one of a range."""
+    if not len(numbers):
+        return F.lit(False)
+    inside = c.between(min(numbers), max(numbers))
+    return inside if abs(numbers.step) == 1 else inside & (F.pmod(c - F.lit(numbers.start), F.lit(abs(numbers.step))) == 0)
+
+
 def subtable(t: KeyedFrame, first: int, last: int) -> KeyedFrame:
     """Rows first to last (from 1, both included) in key order."""
     if first < 1 or last < first - 1:

@@ -9,6 +9,7 @@ in each task, then a fold of the partial results.
 
 from __future__ import annotations
 
+import inspect
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from keyloom import aggs
 from keyloom import selectors as S
 from keyloom.frame import ARRAY, KeyedFrame, quoted
+from keyloom.session import partitions
 
 
 def _triples(t: KeyedFrame, f: Any, by: list[str], sel: Any) -> list[tuple[str, Column, Any]]:
@@ -60,12 +62,13 @@ def _aggregates(t: KeyedFrame, f: Any, by: list[str], sel: Any, skipmissing: boo
     return [stat(c, skipmissing).alias(n) for n, c, stat in _triples(t, f, by, sel)]
 
 
-def reduce(t: KeyedFrame, f: Any, sel: Any = None, dims: Any = None, init: Any = None, skipmissing: bool = True) -> Any:
+def reduce(t: KeyedFrame, f: Any, sel: Any = None, dims: Any = None, init: Any = None, skipmissing: bool = True, returns: str | None = None) -> Any:
     """Reduce all rows to one.
 
     ``f``: a reducer, several, ``{name: f}`` or ``{name: (selector, f)}``.  A single reducer of a
     single column gives a value, several give a row.  ``init`` is combined with the result by the
-    reducer itself.  With ``dims`` the dimensions named are removed from an array instead.
+    reducer itself.  A function of two values that is associative and commutative is applied in tasks and then
+    to their results (``returns`` is its type, that of the column by default); ``init`` takes part once.  With ``dims`` the dimensions named are removed from an array instead.
     """
     if dims is not None:
         if t.kind != ARRAY:
@@ -73,6 +76,12 @@ def reduce(t: KeyedFrame, f: Any, sel: Any = None, dims: Any = None, init: Any =
         if init is not None:
             raise TypeError("init does not go with dims")
         return reducedim(t, f, dims, skipmissing)
+    if _takes_two(f):
+        inputs = t.exprs(sel if sel is not None else list(t.columns))
+        kind = returns or t.df.select(inputs[0][1]).schema[0].dataType.simpleString()
+        rows = fold(t, f, sel if sel is not None else list(t.columns), by=[], returns=kind).df.collect()
+        value = rows[0][0] if rows else None
+        return value if init is None else init if value is None else f(init, value)
     cols = _aggregates(t, f, [], sel, skipmissing)
     row = t.df.agg(*cols).first()
     if len(cols) > 1:
@@ -85,6 +94,19 @@ def reduce(t: KeyedFrame, f: Any, sel: Any = None, dims: Any = None, init: Any =
     return value
 
 
+def _takes_two(f: Any) -> bool:
+    """Whether f is a plain function of two values (and no known reducer)."""
+    if not callable(f) or isinstance(f, (aggs.Stat, aggs.Several, type)):
+        return False
+    try:
+        if f in aggs.FUNCTIONS:
+            return False
+        required = [p for p in inspect.signature(f).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    except (TypeError, ValueError):
+        return False
+    return len(required) == 2
+
+
 def _with_init(f: Any, value: Any, init: Any) -> Any:
     name = aggs.stat(f).name
     if value is None:
@@ -107,7 +129,21 @@ def reducedim(t: KeyedFrame, f: Any, dims: Any, skipmissing: bool = True) -> Key
     return KeyedFrame(df, kept, ARRAY)
 
 
-reducedim_vec = reducedim
+def reducedim_vec(t: KeyedFrame, f: Any, dims: Any, returns: str | None = None) -> KeyedFrame:
+    """Remove dimensions; ``f`` gets all cells that fall together at once.
+
+    ``f``: a statistic, or with ``returns`` (a type) a pandas function from the Series of the cells, in the order of the
+    removed dimensions, to a value; the array then has one value column.
+    """
+    if returns is None:
+        return reducedim(t, f, dims)
+    gone = t.names([t.keys[d - 1] if isinstance(d, int) else d for d in (dims if isinstance(dims, (list, tuple)) else [dims])])
+    kept = [k for k in t.keys if k not in gone]
+    if not kept:
+        raise ValueError("at least one dimension must stay; use reduce without dims")
+    (v,) = t.values
+    out = _grouped_map(t, lambda group: (f(group.sort_values(gone)[v].reset_index(drop=True)),), kept, [*gone, v], False, False, f"`{v}` {returns}")
+    return KeyedFrame(out.df, kept, ARRAY)
 
 
 def groupreduce(t: KeyedFrame, f: Any, by: Any = None, sel: Any = None, skipmissing: bool = True, named: bool = False) -> KeyedFrame:
@@ -246,13 +282,26 @@ def fold(t: KeyedFrame, stat: Mergeable | Callable, value: Any, by: Any = None,
         yield from _states(states, arrow)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[tuple, Any] = {}
+        # states come in the order of their keys, so one group is open at a time
+        done: dict[tuple, Any] = {}
+        key, held = None, None
         for batch in batches:
             lists = [c.to_pylist() for c in batch.columns]
             for row in zip(*lists):
                 state = pickle.loads(row[-1])
-                states[row[:-1]] = stat.merge(states[row[:-1]], state) if row[:-1] in states else state
-        yield from _states(states, arrow)
+                if key is not None and row[:-1] == key:
+                    held = stat.merge(held, state)
+                    continue
+                if key is not None:
+                    done[key] = held
+                key, held = row[:-1], state
+                if len(done) >= 10_000:
+                    yield from _states(done, arrow)
+                    done = {}
+        if key is not None:
+            # a key that is no number may come again under another spelling of nothing (NaN): merged here
+            done[key] = stat.merge(done[key], held) if key in done else held
+        yield from _states(done, arrow)
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,8 +315,8 @@ def fold(t: KeyedFrame, stat: Mergeable | Callable, value: Any, by: Any = None,
     final_type = to_arrow_type(kind)
     partial = source.mapInArrow(grow, middle)
     if keys:
-        parts = int(t.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        merged = partial.repartition(parts, *[quoted(k) for k in keys]).mapInArrow(join, middle)
+        order = [quoted(k) for k in keys]
+        merged = partial.repartition(partitions(t.df), *order).sortWithinPartitions(*order).mapInArrow(join, middle)
     else:
         merged = partial.coalesce(1).mapInArrow(join, middle)
     schema = T.StructType([*fields, T.StructField(name, kind)])
@@ -307,7 +356,7 @@ def mosaic(t: KeyedFrame, a: Any, b: Any) -> KeyedFrame:
     return KeyedFrame(df, [x[0], y[0]], ARRAY)
 
 
-def partitioned(t: KeyedFrame, y: Any, stat: Any = "mean", parts: int = 100, x: Any = None, by: Any = None, dropmissing: bool = False) -> KeyedFrame:
+def partitioned(t: KeyedFrame, y: Any, stat: Any = "extrema", parts: int = 100, x: Any = None, by: Any = None, dropmissing: bool = False) -> KeyedFrame:
     """A summary of ``y`` in ``parts`` buckets, for plots.
 
     Without ``x`` the buckets are stretches of rows in key order of about equal size; with ``x``

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from keyloom import selectors as S
 from keyloom.frame import ARRAY, KeyedFrame, quoted
-from keyloom.session import guarded_broadcast
+from keyloom.session import checkpointed, guarded_broadcast, partitions
 
 HOW = ("inner", "left", "outer", "anti")
 
@@ -160,14 +160,14 @@ def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = "auto
     left row takes the last right row seen.  ``tile`` cuts long histories: a width (for numbers) or
     a unit of ``date_trunc`` (for dates); inside a tile the pass is local, and a tile without an
     earlier right row takes the last one of the tiles before, so that a key with a large share of
-    the rows is spread over its tiles.  By default dates are cut by month and numbers not at all;
-    None leaves everything of one key in one pass.
+    the rows is spread over its tiles.  By default dates are cut by month and numbers into ranges of about
+    equal size ("parts"); None leaves everything of one key in one pass.
     """
     if len(left.keys) != len(right.keys) or not left.keys:
         raise ValueError("both sides need the same number of keys")
     width = len(left.keys)
     if tile == "auto":
-        tile = "month" if isinstance(left.schema[left.keys[-1]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None
+        tile = "month" if isinstance(left.schema[left.keys[-1]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "parts"
     l = left.df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(left.keys)], F.lit(1).alias("__side"),
                        F.struct(*[quoted(v) for v in left.values]).alias("__left"))
     r = right.df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(right.keys)], F.lit(0).alias("__side"),
@@ -180,13 +180,23 @@ def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = "auto
         w = Window.partitionBy(*head).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("__match", F.last("__right", ignorenulls=True).over(w)).where(F.col("__side") == 1)
     else:
-        cut = F.date_trunc(tile, on) if isinstance(tile, str) else F.floor(on / F.lit(tile))
-        tiled = both.withColumn("__tile", cut)
+        if tile == "parts":
+            ranged = both.repartitionByRange(partitions(both), *head, on)
+            tiled = checkpointed(ranged.withColumn("__tile", F.spark_partition_id()))
+        else:
+            cut = F.date_trunc(tile, on) if isinstance(tile, str) else F.floor(on / F.lit(tile))
+            tiled = both.withColumn("__tile", cut)
         w = Window.partitionBy(*head, "__tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         inside = tiled.withColumn("__match", F.last("__right", ignorenulls=True).over(w))
         ends = tiled.groupBy(*head, "__tile").agg(F.max(F.when(F.col("__side") == 0, F.struct(on.alias("at"), F.col("__right").alias("row")))).alias("__end"))
-        across = Window.partitionBy(*head).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*[c.alias(f"__t{i}") for i, c in enumerate(head)], F.col("__tile").alias("__tile2"), F.last("__end", ignorenulls=True).over(across).getField("row").alias("__before"))
+        if head:
+            across = Window.partitionBy(*head).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
+            before = F.last("__end", ignorenulls=True).over(across)
+        else:  # one row for each tile: its end is the last of the ends before it
+            ends = ends.groupBy().agg(F.sort_array(F.collect_list(F.struct("__tile", "__end"))).alias("all")).select(F.explode("all").alias("t"), "all")
+            ends = ends.select("t.*", F.array_max(F.transform(F.filter("all", lambda e: e["__tile"] < F.col("t.__tile")), lambda e: e["__end"])).alias("__last"))
+            before = F.col("__last")
+        carried = ends.select(*[c.alias(f"__t{i}") for i, c in enumerate(head)], F.col("__tile").alias("__tile2"), before.getField("row").alias("__before"))
         same = F.col("__tile").eqNullSafe(F.col("__tile2"))
         for i, c in enumerate(head):
             same = same & c.eqNullSafe(F.col(f"__t{i}"))
@@ -233,7 +243,7 @@ def rechunk_together(left: KeyedFrame, right: KeyedFrame, lkey: Any = None, rkey
     """Both sides hash-partitioned alike on their keys and kept, so that joins on them need no exchange."""
     lk = left.names(lkey) if lkey is not None else list(left.keys)
     rk = right.names(rkey) if rkey is not None else list(right.keys)
-    n = chunks or int(left.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or max(partitions(left.df), partitions(right.df))
     a = left.df.repartition(n, *[quoted(k) for k in lk]).sortWithinPartitions(*[quoted(k) for k in lk])
     b = right.df.repartition(n, *[quoted(k) for k in rk]).sortWithinPartitions(*[quoted(k) for k in rk])
     return left.like(a), right.like(b)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.session import checkpointed, guarded_broadcast, previous_row
+from keyloom.session import checkpointed, guarded_broadcast, partitions, previous_row
 
 STAT, PAIR, RANK = 0, 1, 2
 SWEEP = (
@@ -188,7 +188,7 @@ def profile_loads(
     placed = cells.join(guarded_broadcast(known), "load").select(
         "feed_no", "col", "num", "txt", "load", "cnt", "next_id", pick("n_").alias("n"), pick("prev_").alias("n_prev"), pick("next_").alias("n_next")
     )
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(rows.select(load, *columns))
     ordered = placed.repartitionByRange(parts, "feed_no", "col", "num", "txt").sortWithinPartitions("feed_no", "col", "num", "txt")
     swept = checkpointed(
         ordered.select("feed_no", "col", F.coalesce("num", F.lit(float("nan"))).alias("num"), "load", "cnt", "next_id", "n", "n_prev", "n_next")

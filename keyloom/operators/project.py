@@ -19,9 +19,19 @@ def _aliased(pairs: list[tuple[str, Column]]) -> list[Column]:
 
 
 def select(t: KeyedFrame, sel: Any) -> KeyedFrame:
-    """The selected columns; the key stays where all key columns are among them."""
+    """The selected columns; the key stays where all key columns are among them.
+
+    A list of values (no names, positions or functions), or a dict of such lists, stands for itself: columns of
+    these values in key order, as many as there are rows.
+    """
+    if isinstance(sel, dict):  # {name: values in key order}
+        wide = t
+        for name, values in sel.items():
+            wide = _with_literal(wide, fresh(name), list(values))
+        added = wide.columns[len(t.columns) :]
+        return KeyedFrame(wide.df.select(*[quoted(c).alias(n) for c, n in zip(added, sel)]))
     if isinstance(sel, list) and sel and all(not isinstance(x, (str, int, tuple, list, dict)) and not callable(x) and not S.is_expression(x) for x in sel):
-        raise TypeError("selectors are names, positions, patterns, types or functions")
+        return select(t, {"_1": sel})  # a literal array
     pairs = t.exprs(sel)
     kept = [n for n, _ in pairs]
     keys = t.keys if t.keys and all(k in kept for k in t.keys) else ()

@@ -33,18 +33,21 @@ def stack(t: KeyedFrame, by: Any = None, sel: Any = None, variable: str = "varia
     return KeyedFrame(long, ids, "table")
 
 
-def unstack(t: KeyedFrame, by: Any = None, variable: Any = "variable", value: Any = "value", names: list | None = None) -> KeyedFrame:
+def unstack(t: KeyedFrame, by: Any = None, variable: Any = "variable", value: Any = "value", names: list | None = None, max_columns: int = 10_000) -> KeyedFrame:
     """Long to wide: one column for each value of ``variable``.
 
-    Columns come in the order of ``names``, or else in order of first appearance (key order
-    and row number tell which is first).  ValueError if a key has a variable twice; keys without
+    Columns come in the order of ``names``, or else in order of first appearance: that of the smallest
+    key with the variable, then of the variable itself; more than ``max_columns`` are an error.  ValueError if a key has a variable twice; keys without
     a variable have a missing cell.
     """
     var, val = t.names(variable)[0], t.names(value)[0]
     ids = t.names(by) if by is not None else [k for k in t.keys if k not in (var, val)]
     if names is None:
-        first = t.df.select(quoted(var).alias("v"), F.monotonically_increasing_id().alias("at")).where(F.col("v").isNotNull()).groupBy("v").agg(F.min("at").alias("at"))
-        names = [r["v"] for r in first.orderBy("at", "v").collect()]  # as many as there will be columns
+        at = F.struct(*[quoted(i) for i in ids]) if ids else F.lit(0)
+        first = t.df.select(quoted(var).alias("v"), at.alias("at")).where(F.col("v").isNotNull()).groupBy("v").agg(F.min("at").alias("at"))
+        names = [r["v"] for r in first.orderBy("at", "v").limit(max_columns + 1).collect()]
+        if len(names) > max_columns:
+            raise ValueError(f"{var!r} has more than {max_columns} values; name the columns wanted")
     cells = t.df.groupBy(*[quoted(i) for i in ids], quoted(var))
     twice = cells.agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).collect()
     if twice:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.rolling import TICKER
-from keyloom.session import checkpointed, guarded_broadcast
+from keyloom.session import checkpointed, guarded_broadcast, partitions
 
 FIELDS = ("close", "high", "low", "volume")
 KINDS = {"price": (0, 1, 2), "volume": (3,)}
@@ -530,7 +530,7 @@ def flagged(rows: DataFrame, feed_rows: int = 200_000) -> DataFrame:
     dated = known.select("feed", "ticker", F.unix_date("date").alias("day"), F.coalesce("file_id", F.lit(-1)).cast("long").alias("load"), *[finite[f].alias(f) for f in FIELDS])
     dated = dated.join(guarded_broadcast(sizes), F.col("feed").eqNullSafe(F.col("feed_")))
     dated = dated.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.col("buckets")).cast("int")).drop("feed_", "buckets")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(dated)
     # the partitioning by feed and bucket serves the aggregate and both passes
     key = ["feed", "bucket"]
     days = dated.repartition(parts, *key).groupBy(*key, "feed_n", "ticker", "day", *FIELDS).agg(F.min("load").alias("load"))

@@ -6,9 +6,11 @@ from typing import Any
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom import aggs
 from keyloom.frame import KeyedFrame, quoted
+from keyloom.session import checkpointed, fresh, partitions
 
 
 def _window(t: KeyedFrame, by: Any, order: Any, reverse: bool):
@@ -28,10 +30,28 @@ def topk(t: KeyedFrame, k: int, order: Any, by: Any = None, reverse: bool = True
 
 
 def lagdiff(t: KeyedFrame, column: Any, order: Any, by: Any = None, name: str | None = None) -> KeyedFrame:
-    """The difference to the row before in the group; missing in the first."""
+    """The difference to the row before in the group; missing in the first.
+
+    Without groups the rows are cut into ranges of the order; each range takes the last value of the range before
+    it (one row for each range is carried), so no task sees all rows.
+    """
     c = t.names(column)[0]
-    w = _window(t, by if by is not None else [], order, False)
-    return t.like(t.df.withColumn(name or f"{c}_diff", quoted(c) - F.lag(quoted(c)).over(w)))
+    out = name or f"{c}_diff"
+    if by is not None and t.names(by):
+        return t.like(t.df.withColumn(out, quoted(c) - F.lag(quoted(c)).over(_window(t, by, order, False))))
+    part, rank, last = fresh("part"), fresh("rank"), fresh("last")
+    df = checkpointed(t.df.repartitionByRange(partitions(t.df), *t.order(order)).withColumn(part, F.spark_partition_id()))
+    w = Window.partitionBy(part).orderBy(*t.order(order))
+    ranked = df.withColumn(rank, F.row_number().over(w)).withColumn(last, F.lead(F.lit(1)).over(w).isNull())
+    ends = {r[0]: r[1] for r in ranked.where(last).select(part, quoted(c)).collect()}  # one row a range
+    carried = dict(zip(sorted(ends)[1:], [ends[p] for p in sorted(ends)]))
+    value = F.lit(None).cast(t.schema[c].dataType)
+    if carried:
+        rows = t.df.sparkSession.createDataFrame(list(carried.items()), T.StructType([T.StructField(fresh("p"), T.IntegerType()), T.StructField("__end", t.schema[c].dataType)]))
+        ranked = ranked.join(F.broadcast(rows), F.col(part) == F.col(rows.columns[0]), "left")
+        value = F.col("__end")
+    before = F.when(F.col(rank) == 1, value).otherwise(F.lag(quoted(c)).over(w))
+    return t.like(ranked.select(*[quoted(x) for x in t.columns], (quoted(c) - before).alias(out)))
 
 
 def groupvalue(t: KeyedFrame, column: Any, stat: Any = "mean", by: Any = None, name: str | None = None) -> KeyedFrame:

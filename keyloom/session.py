@@ -115,6 +115,16 @@ def release(spark: SparkSession) -> int:
     return removed
 
 
+def partitions(df: DataFrame, size: int = 128 << 20) -> int:
+    """How many partitions to ask for: as many as are set, or more where Catalyst's estimate of the data says so.
+
+    A number that is asked for stands; the run-time replanning does not split such partitions.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if estimate >= 1 << 55 else max(least, min(-(-estimate // size), 100_000))  # huge: not known
+
+
 def fresh(name: str) -> str:
     """A column name that no input column has."""
     return f"__{name}_{uuid.uuid4().hex[:8]}"

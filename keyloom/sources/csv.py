@@ -14,8 +14,9 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as fold_left
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,7 @@ NASTRINGS = ("", "NA", "#NA", "N/A", "#N/A", "missing", "null", "NaN")
 
 _WHOLE, _NUMBER, _DAY = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _STAMP, _TRUTH = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?$", r"^(?i:true|false)$"
+MANY_FILES = 1000  # up to so many the driver reads the headers itself
 _KINDS: list[tuple[str, str, T.DataType]] = [
     ("long", _WHOLE, T.LongType()),
     ("double", _NUMBER, T.DoubleType()),
@@ -83,7 +85,11 @@ def _split(line: str, delim: str, quote: str, spaces: bool) -> list[str]:
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    conf = spark._jsc.hadoopConfiguration()
+    stream = where.getFileSystem(conf).open(where)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
         return [reader.readLine() or "" for _ in range(n)]
@@ -93,22 +99,29 @@ def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
 
 def _headers(spark: SparkSession, paths: list[str], delim: str, quote: str, spaces: bool, skip: int) -> list[list[str]]:
     """The header of each file; only first lines are read, many files at a time."""
-    def one(path: str) -> list[str]:
-        line = _first_lines(spark, path, skip + 1)[-1].lstrip("\ufeff").rstrip("\r\n")
-        return [canonical(n) for n in _split(line, delim, quote, spaces)]
+    parse = lambda line: [canonical(n) for n in _split(line.lstrip("\ufeff").rstrip("\r\n"), delim, quote, spaces)]
+    if len(paths) <= MANY_FILES:
+        with ThreadPoolExecutor(min(32, len(paths))) as pool:
+            return list(pool.map(lambda p: parse(_first_lines(spark, p, skip + 1)[-1]), paths))
+    # many files: tasks read their beginnings; one line a file comes back
+    place = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where(F.col("block") == 0).withColumn("n", place).where(F.col("n") == skip + 1)
+    found = {_bare(r["file"]): r["value"] for r in first.select("file", "value").collect()}
+    return [parse(found.get(_bare(p), "")) for p in paths]
 
-    with ThreadPoolExecutor(min(32, len(paths))) as pool:
-        return list(pool.map(one, paths))
 
+def _bare(path: str) -> str:
+    """A path as both file listing and scans name it."""
+    return unquote(re.sub("^file:/*", "/", path))
 
-def _read(spark: SparkSession, paths: list[str], names: list[str], header: bool, delim: str, quote: str, escape: str, spaces: bool, skip: int) -> DataFrame:
+
+def _read(spark: SparkSession, paths: list[str], names: list[str], header: bool, delim: str, quote: str, escape: str, spaces: bool, skip: int, multiline: bool, longer: str) -> DataFrame:
     """The body of files of one header, all text, with ``__file``."""
     if spaces or skip:
         lines = spark.read.text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
         if skip or header:
             # lines to leave out stand at the start of each file; only the first block of a file can hold them
-            from pyspark.sql import Window
-
             first = lines.where(F.col("__block") == 0)
             cut = skip + (1 if header else 0)
             w = Window.partitionBy("__file").orderBy("__at")
@@ -120,11 +133,17 @@ def _read(spark: SparkSession, paths: list[str], names: list[str], header: bool,
         parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": delim, "quote": quote, "escape": escape, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
         return lines.where(F.length("value") > 0).select(parsed.alias("r"), "__file").select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "__file")
     reader = (
-        spark.read.schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
+        spark.read.schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("__record", T.StringType())]))
+        .option("columnNameOfCorruptRecord", "__record").option("multiLine", multiline)
         .option("sep", delim).option("quote", quote).option("escape", escape).option("header", header).option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "PERMISSIVE")
     )
     df = reader.csv(paths)
+    if longer == "error":
+        # records whose number of cells is not that of the header come with their text; short ones are filled up
+        parsed = F.from_csv("__record", ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"sep": delim, "quote": quote, "escape": escape, "nullValue": "\u0000", "emptyValue": ""})
+        more = F.col("__record").isNotNull() & parsed.getField(f"c{len(names)}").isNotNull()
+        df = df.where(F.when(more, F.raise_error(F.concat(F.lit("a record has more cells than the header: "), F.col("__record"))).cast("boolean")).otherwise(F.lit(True)))
     return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("_metadata.file_path").alias("__file"))
 
 
@@ -168,6 +187,8 @@ def _load(
     colparsers: dict[Any, Any] | None = None,
     nastrings: Sequence[str] = NASTRINGS,
     skiplines_begin: int = 0,
+    multiline: bool = True,
+    long_records: str = "error",
     chunks: int | None = None,
     agg: Any = None,
     output: str | None = None,
@@ -175,6 +196,8 @@ def _load(
     kind: str = TABLE,
     **ignored: Any,
 ) -> KeyedFrame:
+    if long_records not in ("error", "drop"):
+        raise ValueError("long_records must be error or drop")
     unknown = set(ignored) - {"distributed", "type_detect_rows", "usecache", "presorted", "copy", "csvread", "row_estimate"}
     if unknown:
         raise TypeError(f"unknown options {sorted(unknown)}")
@@ -195,7 +218,7 @@ def _load(
         if len(set(names)) != len(names):
             raise ValueError(f"{p} has a column twice: {names}")
         groups.setdefault(tuple(names), []).append(p)
-    frames = [_read(spark, ps, list(ns), header_exists, delim, quotechar, escapechar, spacedelim, skiplines_begin) for ns, ps in groups.items()]
+    frames = [_read(spark, ps, list(ns), header_exists, delim, quotechar, escapechar, spacedelim, skiplines_begin, multiline, long_records) for ns, ps in groups.items()]
     df = fold_left(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     columns = list(dict.fromkeys(n for ns in groups for n in ns))
     df = df.select(*[F.when(~F.btrim(quoted(c)).isin(*nastrings), quoted(c)).alias(c) for c in columns], "__file")
@@ -278,7 +301,9 @@ def load_table(files: str | Sequence[str], **options: Any) -> KeyedFrame:
     ``escapechar``, ``filenamecol`` (a name, or (name, function of the file name)),
     ``header_exists``, ``colnames``, ``samecols`` (groups of names for the same column),
     ``colparsers`` (types or functions), ``nastrings``, ``skiplines_begin``, ``chunks``, ``agg``,
-    ``output`` and ``append``.  ``distributed``, ``type_detect_rows``, ``usecache``, ``presorted``
+    ``output`` and ``append``, ``multiline`` (quoted cells may hold line ends, so a file is read by one task;
+    False lets large files be split), ``long_records`` (what becomes of a record with more cells than the header:
+    "error", or "drop" for the cells beyond it).  ``distributed``, ``type_detect_rows``, ``usecache``, ``presorted``
     and ``copy`` are accepted and have no effect.
     """
     return _load(files, kind=TABLE, **options)

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.frame import KeyedFrame
+from keyloom.session import partitions
 
 SIDECAR = "_keys"
 
@@ -23,12 +24,14 @@ def save(t: KeyedFrame, path: str, append: bool = False, single: bool = False) -
         old = load(path, spark)
         if old.keys != t.keys or old.kind != t.kind:
             raise ValueError(f"the saved frame has the key {old.keys}, this one {t.keys}")
+        if old.df.dtypes != t.df.dtypes:
+            raise ValueError(f"the saved frame has the columns {old.df.dtypes}, this one {t.df.dtypes}")
     df = t.df
     if single:
         df = df.coalesce(1)
         df = df.sortWithinPartitions(*t.order()) if t.keys else df
     elif t.keys:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = partitions(df)
         df = df.repartitionByRange(parts, *t.order()).sortWithinPartitions(*t.order())
     df.write.mode("append" if append else "overwrite").parquet(path)
     meta = json.dumps({"keys": list(t.keys), "kind": t.kind})
@@ -36,10 +39,13 @@ def save(t: KeyedFrame, path: str, append: bool = False, single: bool = False) -
     return load(path, spark)
 
 
-def load(path: str, spark: SparkSession | None = None, **ignored: Any) -> KeyedFrame:
-    """A saved frame, or any parquet directory (without a key)."""
+def load(path: str, spark: SparkSession | None = None, merge_schema: bool = False, **ignored: Any) -> KeyedFrame:
+    """A saved frame, or any parquet directory (without a key).
+
+    Saved frames have one schema; ``merge_schema`` reads the footer of every file for directories that do not.
+    """
     spark = spark or SparkSession.getActiveSession()
-    df = spark.read.option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    df = spark.read.option("mergeSchema", merge_schema).option("pathGlobFilter", "*.parquet").parquet(path)
     if not exists(spark, f"{path}/{SIDECAR}"):
         return KeyedFrame(df)
     meta = json.loads(_sidecar(spark, f"{path}/{SIDECAR}"))

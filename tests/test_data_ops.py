@@ -122,13 +122,37 @@ def test_drift_rename_then_add_again(spark):
     names = {(r["file_id"], r["name"]): r["canonical"] for r in drift.canonical_names(lines, catalog).collect()}
     assert names[7, "alpha"] == names[8, "alpha"] == "a" and names[8, "a"] == names[9, "a"] == names[6, "a"] == "a@8"
     assert names[6, "p"] == names[9, "beta"] == "beta" and names[6, "q"] == "q"  # p and q both agree with beta
-    got = {(r["file_id"], r["line_no"]): (r["a"], r["a_long"], r["x"], r["other"]) for r in drift.consistent_table(lines, catalog, ["a", "x"]).collect()}
+    table = drift.consistent_table(lines, catalog, ["a", "x"]).collect()
+    got = {(r["file_id"], r["line_no"]): (r["a"], r["a_long"], r["x"], {n: c["canonical"] for n, c in r["other"].items()}) for r in table}
     assert got[10, 2] == ("1", 1, "2", {}) and got[7, 3] == ("5", 5, "6", {})
     assert got[8, 2] == ("5", 5, "6", {"a@8": "50"}) and got[8, 3] == (None, None, "7", {"a@8": "70"})
     assert got[9, 3] == (None, None, None, {"a@8": "80", "beta": "8"})
     assert got[6, 3] == (None, None, None, {"a@8": "90", "beta": "9", "q": "11"})
 
 
+def test_cells_keep_their_branch_and_have_a_canonical_form(spark):
+    files = {1: ["k,v", "1,+007", "2,-0.50", "3,1.5e3", "4,2020-01-02", "5, x y ", "6,NA", "7,0.000", "8,.05", "9,12345678901234567890123", "10,1e99"]}
+    lines, catalog = as_lines(spark, files), as_catalog(spark, [(1, "f", 0, 0)])
+    day = datetime.date(2020, 1, 2)
+    want = {
+        "1": ("7", 7, 7.0, None, None), "2": ("-0.5", None, -0.5, None, None), "3": ("1500", None, 1500.0, None, None), "4": ("2020-01-02", None, None, day, None),
+        "5": ("x y", None, None, None, "x y"), "6": (None, None, None, None, None), "7": ("0", None, 0.0, None, None), "8": ("0.05", None, 0.05, None, None),
+        "9": ("12345678901234567890123", None, 12345678901234567890123.0, None, None), "10": ("1e99", None, 1e99, None, None),
+    }
+    asked = drift.consistent_table(lines, catalog, ["k", "v"])
+    assert {r["k"]: (r["v"], r["v_long"], r["v_double"], r["v_date"], r["v_text"]) for r in asked.collect()} == want
+    rest = drift.consistent_table(lines, catalog, ["k"])
+    assert {r["k"]: tuple(r["other"]["v"]) if "v" in r["other"] else (None,) * 5 for r in rest.collect()} == want
+
+
+def test_numbers_are_compared_exactly(spark, rows):
+    """Two whole numbers that are one double are two numbers; other spellings of a number are the same one."""
+    for old, new, kind in (("9007199254740993", "9007199254740992", None), ("0012.50", "+1.25e1", "renamed"), ("-0", "0.0", "renamed"), ("1e400", "1e401", None)):
+        lines = as_lines(spark, {1: ["a", old], 2: ["b", new]})
+        got = rows(drift.schema_changes(lines, as_catalog(spark, [(1, "f", 0, 0), (2, "f", 1, 1)])))
+        assert ((2, "b", "renamed") in got) == (kind == "renamed"), (old, new)
+
+
 def test_appearing_alternatives(spark, rows):
     files = {
         1: ["a, x", "1, 2", "2, NA", "3, 4"],
@@ -308,6 +332,31 @@ def test_recovery_in_whole_text():
     assert [r[3] for r in got] == [None, "quoting", None, None, None] and got[3][2][1] == "A\nB"
 
 
+def test_whole_texts(spark):
+    good = "2020-01-02,ABC,1,2,3,4,5"
+    text = "\n".join([good, '2020-01-03,"ABC,1,2,3,4,5', good, '2020-01-03,"A\nB",1,2,3,4,5', "x", good])
+    df = spark.createDataFrame([(1, text, "clash"), (2, None, None), (3, "", ""), (4, "\n".join([good] * 25_000), "")], "file_id long, text string, line string")
+    got = badrows.parse_texts(df)
+    first = sorted(got.where("file_id = 1").collect(), key=lambda r: r["record_no"])
+    assert [r["reason"] for r in first] == [None, "quoting", None, None, "columns", None] and first[3]["ticker"] == "A\nB"
+    assert [text[r["start"] :].startswith(r["line"] or good[:7]) for r in first] == [True] * 6 and first[1]["error_at"] == len(good) + 12
+    assert got.where("file_id in (2, 3)").count() == 0
+    assert tuple(got.where("file_id = 4").agg(F.count("*"), F.max("record_no"), F.count("reason")).first()) == (25_000, 25_000, 0)
+
+
+def test_plain_lines_equal_the_descent(spark):
+    """What Column expressions settle is what the descent gives."""
+    lines = spark.read.parquet(f"{DATA}/sample_raw.parquet").where("line_no > 1").select("file_id", "line_no", "line")
+    known = {(r["file_id"], r["line_no"]): r for r in badrows.parse_rows(lines).collect()}
+    for r in lines.collect():
+        values, reason, at = badrows.parse_line(r["line"])
+        row = known[r["file_id"], r["line_no"]]
+        assert (row["reason"], row["error_at"]) == (reason, at)
+        assert values is None or [row[n] for n, _ in badrows.FIELDS] == values
+    settled = lines.where(badrows.plainly_valid()).count()
+    assert settled > 0.5 * len(known)
+
+
 # ---------------------------------------------------------------- 4: rolling totals
 
 
