@@ -58,7 +58,8 @@ _WHO = re.compile(r"<cite>[^<>]{0,200}</cite>|\[quote[^\[\]]{0,200}\]", re.I)
 _IMAGE = re.compile(r"\[(img|url)[^\[\]]{0,300}\][^\[\]]{0,500}\[/\1\]|(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|\[/?[a-zA-Z*][^\[\]\n]{0,100}\]")
 _MARKS = re.compile(r"^[ \t]*(?:(?:>|\|)[ \t]?)+", re.M)
-_WROTE = re.compile(r"^.{0,80}\b(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$", re.M | re.I)
+_WRITES = ("wrote", "writes", "schrieb", "a écrit", "escribió")
+_WROTE = re.compile(rf"^.{{0,80}}\b(?:{'|'.join(_WRITES)})[ \t]*:[ \t]*$", re.M | re.I)
 _SIGNED = re.compile(r"^(?:--|-- |—|_{3,})[ \t]*$", re.M)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
@@ -66,12 +67,23 @@ _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
 def visible(text: str) -> str:
     """The text without markup, addresses, quoted names and signature."""
-    text = _LINE.sub("\n", text)
-    text = _WHO.sub("\n", text)
-    text = _IMAGE.sub(" ", text)
-    text = html.unescape(_TAG.sub("", text))
-    text = _WROTE.sub("", _MARKS.sub("", text))
-    signed = list(_SIGNED.finditer(text))
+    # a pattern is only tried where a mark that it cannot do without is there
+    tags, brackets, plain = "<" in text, "[" in text, text.lower()
+    if tags:
+        text = _LINE.sub("\n", text)
+    if tags or brackets:
+        text = _WHO.sub("\n", text)
+    if brackets or "http" in plain or "www." in plain:
+        text = _IMAGE.sub(" ", text)
+    if tags or brackets:
+        text = _TAG.sub("", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if ">" in text or "|" in text:
+        text = _MARKS.sub("", text)
+    if ":" in text and any(w in text.lower() for w in _WRITES):
+        text = _WROTE.sub("", text)
+    signed = list(_SIGNED.finditer(text)) if "--" in text or "—" in text or "___" in text else []
     # a signature is the few short lines after the last mark
     if signed and len(text) - signed[-1].end() <= 300 and text[signed[-1].end() :].count("\n") <= 6:
         text = text[: signed[-1].start()]
