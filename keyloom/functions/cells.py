@@ -48,42 +48,44 @@ def tag(cell: Column) -> Column:
     )
 
 
-def _decimal(cell: Column) -> tuple[Column, Column, Column]:
-    """Sign, significant digits and power of ten of a number as text; exact, whatever its length.
+def _written_out(cell: Column) -> Column:
+    """Any number as a plain decimal; powers of ten beyond 40 keep their exponent.  Exact, whatever its length.
 
-    Zero has no digits.  The power is null where the exponent has more than 18 digits.
+    Null where the exponent has more than 18 digits.  It is bound to a lambda, so that its parts are worked out once.
     """
     part = lambda i: F.regexp_extract(cell, r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$", i)
+    exponent = F.when(part(4) == "", F.lit(0).cast("bigint")).when(F.length(part(4)) <= 18, part(4).try_cast("bigint"))
     digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
-    short = F.rtrim(digits, F.lit("0"))
-    exponent = F.when(part(4) == "", F.lit(0)).otherwise(F.when(F.length(part(4)) <= 18, part(4).try_cast("bigint")))
-    return part(1), short, exponent - F.length(part(3)) + F.length(digits) - F.length(short)
+    whole = F.struct(F.when(part(1) == "-", F.lit("-")).otherwise(F.lit("")).alias("sign"), digits.alias("all"), F.rtrim(digits, F.lit("0")).alias("digits"), (exponent - F.length(part(3))).alias("power"))
 
+    def plain(p: Column) -> Column:
+        digits, power = p["digits"], p["power"] + F.length(p["all"]) - F.length(p["digits"])
+        n = F.length(digits)
+        zeros = lambda k: F.repeat(F.lit("0"), k.cast("int"))
+        text = (
+            F.when(F.abs(power) > 40, F.concat(digits, F.lit("e"), power.cast("string")))
+            .when(power >= 0, F.concat(digits, zeros(power)))
+            .when(n > -power, F.concat(F.substring(digits, F.lit(1), (n + power).cast("int")), F.lit("."), F.substring(digits, (n + power + 1).cast("int"), n)))
+            .otherwise(F.concat(F.lit("0."), zeros(-power - n), digits))
+        )
+        return F.when(digits == "", F.lit("0")).otherwise(F.concat(p["sign"], text))
 
-def comparable(cell: Column) -> Column:
-    """A form in which two clean cells are equal if they are the same text, number or both missing."""
-    sign, digits, power = _decimal(cell)
-    number = F.when(digits == "", F.lit("n0")).otherwise(F.concat(F.lit("n"), F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), digits, F.lit("e"), power.cast("string")))
-    return (
-        F.when(is_missing(cell), F.lit("m"))
-        .when(cell.rlike(NUMBER), F.coalesce(number, F.concat(F.lit("t"), cell)))
-        .otherwise(F.concat(F.lit("t"), cell))
-    )
+    return F.get(F.transform(F.array(whole), plain), 0)
 
 
 def canonical(cell: Column) -> Column:
-    """The canonical form of a clean cell: numbers as plain decimals, other cells as they are, missing ones null.
-
-    Powers of ten beyond 40 keep their exponent.
-    """
-    sign, digits, power = _decimal(cell)
-    n = F.length(digits)
-    zeros = lambda k: F.repeat(F.lit("0"), k.cast("int"))
-    plain = (
-        F.when(F.abs(power) > 40, F.concat(digits, F.lit("e"), power.cast("string")))
-        .when(power >= 0, F.concat(digits, zeros(F.least(power, F.lit(40)))))
-        .when(n > -power, F.concat(F.substring(digits, F.lit(1), (n + power).cast("int")), F.lit("."), F.substring(digits, (n + power + 1).cast("int"), n)))
-        .otherwise(F.concat(F.lit("0."), zeros(F.least(-power - n, F.lit(40))), digits))
+    """The canonical form of a clean cell: numbers as plain decimals, other cells as they are, missing ones null."""
+    short = F.regexp_replace(cell, r"^(?:\+|(-))?0*", "$1")
+    short = F.when(cell.contains("."), F.regexp_replace(short, r"\.?0*$", "")).otherwise(short)
+    usual = F.regexp_replace(F.regexp_replace(short, r"^-?$", "0"), r"^(-?)\.", "$10.")
+    return (
+        F.when(is_missing(cell), F.lit(None).cast("string"))
+        .when(~cell.rlike(NUMBER), cell)
+        .when((F.length(cell) <= 40) & ~cell.rlike("[eE]"), usual)
+        .otherwise(F.coalesce(_written_out(cell), cell))
     )
-    number = F.when(digits == "", F.lit("0")).otherwise(F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), plain))
-    return F.when(is_missing(cell), F.lit(None).cast("string")).when(cell.rlike(NUMBER), F.coalesce(number, cell)).otherwise(cell)
+
+
+def comparable(cell: Column) -> Column:
+    """A form in which two clean cells are equal if they are the same text, number or both missing."""
+    return F.when(is_missing(cell), F.lit("m")).otherwise(F.concat(F.when(cell.rlike(NUMBER), F.lit("n")).otherwise(F.lit("t")), canonical(cell)))

@@ -111,8 +111,9 @@ def _compared(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFram
     )
     # columns agree in all cells if they have the same cells that are not missing; such columns meet in one
     # row, so no pairs of columns are formed
-    told = found.select("later_id", "side", "k", "pos", cells.comparable(F.col("cell")).alias("key")).where(F.col("key") != "m")
-    columns = told.join(alone, ["later_id", "side", "pos"]).groupBy("later_id", "side", "column").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("held"))
+    told = found.where(~cells.is_missing(F.col("cell"))).join(alone, ["later_id", "side", "pos"])
+    told = told.select("later_id", "side", "column", "k", cells.comparable(F.col("cell")).alias("key"))
+    columns = told.groupBy("later_id", "side", "column").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("held"))
     met = columns.groupBy("later_id", "held").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.col("column")))).alias("new"), F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.col("column")))).alias("old")
     )
