@@ -116,13 +116,16 @@ def release(spark: SparkSession) -> int:
 
 
 def partitions(df: DataFrame, size: int = 128 << 20) -> int:
-    """How many partitions to ask for: as many as are set, or more where Catalyst's estimate of the data says so.
+    """How many partitions to ask for: as many as are set, or more where the tables read are large.
 
-    A number that is asked for stands; the run-time replanning does not split such partitions.
+    The sizes of the tables are added up (Catalyst's estimate of a join multiplies them). A number that is
+    asked for stands; the run-time replanning does not split such partitions.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if estimate >= 1 << 55 else max(least, min(-(-estimate // size), 100_000))  # huge: not known
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 55)  # beyond: not known
+    return max(least, min(-(-known // size), 100_000))
 
 
 def fresh(name: str) -> str:
