@@ -26,9 +26,10 @@ def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """Every record under one schema; the map is shown as sorted text."""
+    """Every record under one schema; of the map the canonical forms are shown, as sorted text."""
     wide = drift.consistent_table(*_drift_input(spark, d), ["a", "x", "y"])
-    return wide.withColumn("other", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("other")))))
+    shown = F.transform(F.map_entries("other"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["canonical"]))
+    return wide.withColumn("other", F.array_join(F.array_sort(shown), ";"))
 
 
 def _bad_stock() -> dict:
@@ -152,7 +153,7 @@ ORACLES |= {
     "p4_rolling": f"with {_DAYS} select ticker, date, total_7::bigint as total_7, total_30::bigint as total_30, round(total_7 / 7.0::double, 4) as avg_7, round(total_30 / 30.0::double, 4) as avg_30 from rolled",
 }
 
-ORACLES["p3_found"] = r"""with b as (select file_id, line_no, coalesce(line, '') as line from sample_raw where line_no > 1),
+_P3_BASE = r"""b as (select file_id, line_no, coalesce(line, '') as line from sample_raw where line_no > 1),
 f as (select *, list_transform(regexp_extract_all(',' || line, ',([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^",]*)', 1), lambda x: trim(x, ' ' || chr(9))) as raw from b),
 c as (select *, list_transform(raw, lambda x: case when length(x) >= 2 and x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from f),
 r as (select file_id, line_no, case
@@ -160,39 +161,74 @@ r as (select file_id, line_no, case
   when len(v) <> 7 then 'columns'
   when not regexp_full_match(v[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') or try_cast(v[1] as date) is null or v[2] in ('', 'NA', 'missing')
     or len(list_filter(v[3:6], lambda x: not (x in ('', 'NA', 'missing') or regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')))) > 0
-    or not (v[7] in ('', 'NA', 'missing') or (regexp_full_match(v[7], '[0-9]+') and try_cast(v[7] as bigint) is not null)) then 'value' end as reason from c)
-select file_id, line_no, reason from r where reason is not null"""
+    or not (v[7] in ('', 'NA', 'missing') or (regexp_full_match(v[7], '[0-9]+') and try_cast(v[7] as bigint) is not null)) then 'value' end as reason, v from c)"""
 
-ORACLES["p1_found"] = r"""with lines as (select * from t1 union all select * from t2),
-cat as (select file_id, feed, coalesce(carried, 0) as carried, lag(file_id) over (partition by feed order by written_at, file_id) as before_id
+ORACLES["p3_found"] = f"with {_P3_BASE} select file_id, line_no, reason from r where reason is not null"
+
+_READ = "case when v[{0}] in ('', 'NA', 'missing') then null else try_cast(v[{0}] as {1}) end as {2}"
+ORACLES["p3_rows"] = f"with {_P3_BASE} select file_id, line_no, " + ", ".join(
+    _READ.format(i, kind, name) for i, (name, kind) in enumerate(badrows.FIELDS, 1)
+).replace(" as string)", " as varchar)") + " from r where reason is null"
+
+
+_P1_BASE = r"""lines as (select * from t1 union all select * from t2),
+cat as (select file_id, feed, written_at, coalesce(carried, 0) as carried, lag(file_id) over (partition by feed order by written_at, file_id) as before_id
   from filecatalog where dataset in ('t1', 't2')),
 split as (select file_id, line_no, regexp_extract_all(',' || coalesce(line, ''), ',([ \t]*"[^"]*(?:""[^"]*)*"[ \t]*|[^,]*)', 1) as cs from lines),
 raw as (select file_id, line_no, trim(unnest(cs), ' ' || chr(9)) as b, generate_subscripts(cs, 1) as pos from split),
 clean as (select file_id, line_no, pos, case when length(b) >= 2 and b[1] = '"' and b[-1] = '"' then trim(replace(b[2:-2], '""', '"'), ' ' || chr(9)) else b end as c from raw),
 names as (select file_id, regexp_replace(lower(c), '[ \t]+', '_', 'g') as name, min(pos) as pos from clean where line_no = 1 group by all),
-vals as (select n.file_id, n.name, c.line_no, case when c.c in ('', 'NA', 'missing') then null else c.c end as v
-  from names n join clean c on c.file_id = n.file_id and c.pos = n.pos where c.line_no > 1),
-typed as (select file_id, name, case when count(v) = 0 then null when bool_and(regexp_full_match(v, '[+-]?[0-9]+')) then 'long'
-    when bool_and(regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')) then 'double'
-    when bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) then 'date' else 'string' end as kind from vals group by all),
-cols as (select n.file_id, n.name, t.kind from names n left join typed t on t.file_id = n.file_id and t.name = n.name),
-new_ as (select p.file_id, p.before_id, p.carried, c.name, c.kind from cat p join cols c on c.file_id = p.file_id where p.before_id is not null),
-old_ as (select p.file_id, p.before_id, p.carried, c.name, c.kind from cat p join cols c on c.file_id = p.before_id),
+told as (select n.file_id, n.name, c.line_no, c.c as v, regexp_full_match(c.c, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') as num,
+    regexp_extract(c.c, '^([+-]?)([0-9]*)\.?([0-9]*)', 1) as sign, regexp_extract(c.c, '^([+-]?)([0-9]*)\.?([0-9]*)', 2) as whole,
+    regexp_extract(c.c, '^([+-]?)([0-9]*)\.?([0-9]*)', 3) as frac, regexp_extract(c.c, '[eE]([+-]?[0-9]+)$', 1) as ex
+  from names n join clean c on c.file_id = n.file_id and c.pos = n.pos where c.line_no > 1 and c.c not in ('', 'NA', 'missing')),
+sized as (select *, rtrim(ltrim(whole || frac, '0'), '0') as d,
+    coalesce(try_cast(ex as bigint), 0) - length(frac) + length(ltrim(whole || frac, '0')) - length(rtrim(ltrim(whole || frac, '0'), '0')) as pow from told),
+vals as (select file_id, name, line_no, v, num, case when not num then 't' || v when d = '' then 'n0' else 'n' || case when sign = '-' then '-' else '' end || d || 'e' || pow end as key,
+    case when not num then v when d = '' then '0' else case when sign = '-' then '-' else '' end || case when abs(pow) > 40 then d || 'e' || pow when pow >= 0 then d || repeat('0', pow)
+      when length(d) > -pow then left(d, length(d) + pow) || '.' || right(d, -pow) else '0.' || repeat('0', -pow - length(d)) || d end end as canon from sized),
+new_ as (select p.file_id, p.before_id, p.carried, c.name from cat p join names c on c.file_id = p.file_id where p.before_id is not null),
+old_ as (select p.file_id, p.before_id, p.carried, c.name from cat p join names c on c.file_id = p.before_id),
 only_new as (select * from new_ n where not exists (select 1 from old_ o where o.file_id = n.file_id and o.name = n.name)),
 only_old as (select * from old_ o where not exists (select 1 from new_ n where o.file_id = n.file_id and o.name = n.name)),
 ends as (select file_id, max(line_no) as e from lines group by all),
-steps as (select n.file_id, n.name as new_name, o.name as old_name, n.carried, unnest(generate_series(1, n.carried)) as k, n.before_id
-  from only_new n join only_old o on o.file_id = n.file_id where n.carried > 0),
-cells as (select s.file_id, s.new_name, s.old_name, s.carried, a.v as x, b.v as y from steps s join ends e on e.file_id = s.before_id
-  left join vals a on a.file_id = s.file_id and a.name = s.new_name and a.line_no = s.k + 1
-  left join vals b on b.file_id = s.before_id and b.name = s.old_name and b.line_no = e.e - s.carried + s.k),
-renames as (select file_id, new_name, old_name from cells group by all
-  having bool_and((x is null and y is null) or coalesce(x = y, false)
-    or coalesce(regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') and regexp_full_match(y, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
-      and try_cast(x as double) = try_cast(y as double), false)) and count(x) > 0)
+new_held as (select n.file_id, n.name, string_agg((v.line_no - 1) || ':' || v.key, chr(10) order by v.line_no) as held
+  from only_new n join vals v on v.file_id = n.file_id and v.name = n.name where v.line_no <= n.carried + 1 group by all),
+old_held as (select o.file_id, o.name, string_agg((v.line_no - e.e + o.carried) || ':' || v.key, chr(10) order by v.line_no) as held
+  from only_old o join ends e on e.file_id = o.before_id join vals v on v.file_id = o.before_id and v.name = o.name where v.line_no > 1 and v.line_no > e.e - o.carried group by all)"""
+
+_KIND = "case when regexp_full_match(v, '[+-]?[0-9]+') then 'long' when num then 'double' when regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then 'date' else 'string' end"
+
+ORACLES["p1_found"] = rf"""with {_P1_BASE},
+typed as (select file_id, name, case when bool_and(k = 'long') then 'long' when bool_and(k in ('long', 'double')) then 'double' when bool_and(k = 'date') then 'date' else 'string' end as kind
+  from (select file_id, name, {_KIND} as k from vals) group by all),
+cols as (select n.file_id, n.name, t.kind from names n left join typed t on t.file_id = n.file_id and t.name = n.name),
+renames as (select n.file_id, n.name as new_name, o.name as old_name from new_held n join old_held o on o.file_id = n.file_id and o.held = n.held),
+before_ as (select p.file_id, p.before_id from cat p where p.before_id is not null)
 select distinct file_id, new_name as column_name, 'renamed' as change_kind from renames
 union all select file_id, name, 'added' from only_new n where not exists (select 1 from renames r where r.file_id = n.file_id and r.new_name = n.name)
 union all select file_id, name, 'removed' from only_old o where not exists (select 1 from renames r where r.file_id = o.file_id and r.old_name = o.name)
-union all select n.file_id, n.name, 'retyped' from new_ n join old_ o on o.file_id = n.file_id and o.name = n.name where n.kind <> o.kind
-union all select distinct r.file_id, r.new_name, 'retyped' from renames r join new_ n on n.file_id = r.file_id and n.name = r.new_name
-  join old_ o on o.file_id = r.file_id and o.name = r.old_name where n.kind <> o.kind"""
+union all select p.file_id, n.name, 'retyped' from before_ p join cols n on n.file_id = p.file_id join cols o on o.file_id = p.before_id and o.name = n.name where n.kind <> o.kind
+union all select distinct r.file_id, r.new_name, 'retyped' from renames r join before_ p on p.file_id = r.file_id join cols n on n.file_id = r.file_id and n.name = r.new_name
+  join cols o on o.file_id = p.before_id and o.name = r.old_name where n.kind <> o.kind"""
+
+ORACLES["p1_table"] = rf"""with recursive {_P1_BASE},
+links as (select p.file_id, n.name, p.before_id, n.name as old_name from cat p join names n on n.file_id = p.file_id join names o on o.file_id = p.before_id and o.name = n.name
+  union all select n.file_id, n.name, p.before_id, o.name from (select *, row_number() over (partition by file_id, held order by name) as r from new_held) n
+    join (select *, row_number() over (partition by file_id, held order by name) as r from old_held) o on o.file_id = n.file_id and o.held = n.held and o.r = n.r join cat p on p.file_id = n.file_id),
+roots as (select n.file_id, n.name, n.file_id as root_id, n.name as root_name from names n where not exists (select 1 from links l where l.file_id = n.file_id and l.name = n.name)
+  union all select l.file_id, l.name, r.root_id, r.root_name from links l join roots r on r.file_id = l.before_id and r.name = l.old_name),
+aged as (select r.*, row_number() over (partition by r.file_id, r.root_name order by c.written_at, c.file_id) as place from roots r left join cat c on c.file_id = r.root_id),
+later as (select distinct root_id, root_name from aged where place > 1 or regexp_matches(root_name, '@-?[0-9]+$')),
+canonical as (select a.file_id, a.name, case when l.root_id is null then a.root_name else a.root_name || '@' || a.root_id end as canonical
+  from aged a left join later l on l.root_id = a.root_id and l.root_name = a.root_name),
+cells as (select v.file_id, v.line_no, c.canonical as name, v.v, v.canon, {_KIND} as kind from vals v join canonical c on c.file_id = v.file_id and c.name = v.name),
+records as (select file_id, line_no from lines where line_no > 1)
+select r.file_id, r.line_no, """ + ", ".join(
+    f"""max(c.canon) filter (where c.name = '{f}') as {f}, max(try_cast(c.v as bigint)) filter (where c.name = '{f}' and c.kind = 'long') as {f}_long,
+  max(try_cast(c.v as double)) filter (where c.name = '{f}' and c.kind in ('long', 'double')) as {f}_double, max(try_cast(c.v as date)) filter (where c.name = '{f}' and c.kind = 'date') as {f}_date,
+  max(c.v) filter (where c.name = '{f}' and c.kind = 'string') as {f}_text"""
+    for f in ("a", "x", "y")
+) + """,
+  coalesce(string_agg(c.name || '=' || c.canon, ';' order by c.name || '=' || c.canon) filter (where c.name not in ('a', 'x', 'y')), '') as other
+from records r left join cells c on c.file_id = r.file_id and c.line_no = r.line_no group by r.file_id, r.line_no"""

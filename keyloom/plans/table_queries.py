@@ -210,10 +210,10 @@ def join_left(spark, d):
 
 
 @query(f"""select coalesce(o_orderkey, l_orderkey) as o_orderkey, o_custkey, qty
-from (select * from orders where o_orderkey % 3 > 0) full join (select * from ({_ORDER_SUMS}) where l_orderkey % 3 < 2) on l_orderkey = o_orderkey""")
+from (select * from orders where o_orderstatus <> 'F') full join (select * from ({_ORDER_SUMS}) where qty > 60) on l_orderkey = o_orderkey""")
 def join_outer(spark, d):
-    orders = read(spark, d, "orders", ["o_orderkey"]).filter(lambda o: o % 3 > 0, "o_orderkey")
-    return orders.join(_order_sums(spark, d).filter(lambda o: o % 3 < 2, "l_orderkey"), "outer", lselect="o_custkey").df
+    orders = read(spark, d, "orders", ["o_orderkey"]).filter(lambda s: s != "F", "o_orderstatus")
+    return orders.join(_order_sums(spark, d).filter(lambda q: q > 60, "qty"), "outer", lselect="o_custkey").df
 
 
 @query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
@@ -256,7 +256,7 @@ def _events(spark, d, kind):
 
 @query(_ASOF)
 def asof_join(spark, d):
-    return _events(spark, d, "purchase").asofjoin(_events(spark, d, "signup"), tile=None).df
+    return _events(spark, d, "purchase").asofjoin(_events(spark, d, "signup")).df
 
 
 @query(_ASOF)
@@ -274,18 +274,18 @@ def _cells(spark, d) -> KeyedFrame:
     return KeyedFrame(df, ["o_custkey", "y"], "array")
 
 
-@query("select p_partkey, p_size from part where p_partkey <= 1000 union all select p_partkey, p_size from part where p_partkey > 500")
+@query("select p_partkey, p_size from part where p_size <= 30 union all select p_partkey, p_size from part where p_size > 20")
 def merge_tables(spark, d):
     part = read(spark, d, "part", ["p_partkey"]).select(["p_partkey", "p_size"])
-    return part.filter(lambda p: p <= 1000, "p_partkey").merge(part.filter(lambda p: p > 500, "p_partkey")).df
+    return part.filter(lambda s: s <= 30, "p_size").merge(part.filter(lambda s: s > 20, "p_size")).df
 
 
 def _merge_sides(spark, d):
     part = read(spark, d, "part", ["p_partkey"], "array").selectvalues("p_size")
-    return part.filter(lambda p: p % 3 > 0, "p_partkey"), part.filter(lambda p: p % 2 > 0, "p_partkey").selectvalues(("p_size", "p_size", lambda s: s * 10))
+    return part.filter(lambda s: s <= 30, "p_size"), part.filter(lambda s: s > 20, "p_size").selectvalues(("p_size", "p_size", lambda s: s * 10))
 
 
-_SIDES = "(select p_partkey, p_size from part where p_partkey % 3 > 0) l full join (select p_partkey, p_size * 10 as p_size from part where p_partkey % 2 > 0) r on l.p_partkey = r.p_partkey"
+_SIDES = "(select p_partkey, p_size from part where p_size <= 30) l full join (select p_partkey, p_size * 10 as p_size from part where p_size > 20) r on l.p_partkey = r.p_partkey"
 
 
 @query(f"select coalesce(l.p_partkey, r.p_partkey) as p_partkey, coalesce(r.p_size, l.p_size) as p_size from {_SIDES}")
@@ -446,11 +446,11 @@ def featuremat(spark, d):
     return out.select("s_suppkey", F.round(F.get("features", 0).cast("double"), 4).alias("z"), F.get("features", 1).cast("double").alias("even"))
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select o_orderkey, o_custkey, o_totalprice, o_orderpriority from orders")
 def save_load(spark, d):
     import uuid
 
     from keyloom.session import checkpoint_root
 
     path = f"{checkpoint_root(spark)}/saved-{uuid.uuid4().hex}"
-    return k.save(read(spark, d, "nation", ["n_nationkey"]), path).df
+    return k.save(read(spark, d, "orders", ["o_orderkey"]).select(["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]), path).df

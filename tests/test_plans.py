@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import keyloom as k
+from keyloom.plans import table_queries
 
 D = "/root/testdata/sf0.001"
 
@@ -46,13 +47,18 @@ def test_top_rows_need_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(entry.queries()["sort_topn"](spark, D))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
 def test_no_cross_join_and_no_row_wise_python(spark, name):
     text = plan(entry.queries()[name](spark, D))
     assert "CartesianProduct" not in text and "BatchEvalPython" not in text
     assert "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["asof_numbers", "lag_without_groups", "row_numbers"])
+def test_ordered_operators_need_no_single_task(spark, name):
+    assert "SinglePartition" not in plan(entry.queries()[name](spark, D))
+
+
 def test_lines_are_parsed_inside_the_scan(spark):
     text = plan(entry.queries()["p3_found"](spark, D))
     assert "Exchange" not in text and "MapInArrow" in text
