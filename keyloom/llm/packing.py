@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity.
 
-Bulk-synchronous best fit.  Items and gaps lie in two sorted sequences; in every superstep each
-item proposes to its successor among the gaps (the smallest gap it fits into), of the proposals
-to a gap those of the highest rank (largest, then first) win, one for each gap, all gaps are
-updated at once, and what was not placed proposes again.  Items for which no gap is left open new
-containers.
+Bulk-synchronous best fit.  Items and gaps lie in two sorted sequences.  A superstep is one successor
+sweep from the largest size down: a gap becomes available as soon as the sweep reaches its room, and each item
+takes its successor, the smallest gap it fits into that no item of higher rank (larger, then
+first) has taken in this sweep.  The smallest available gap is the one reached last, so the sweep matches items
+and gaps like brackets.  A gap takes one item a superstep; then all gaps are updated at once and what was
+not placed sweeps again, so there are about as many supersteps as items in a container.  Items larger than
+every gap open new containers.
 
 Sizes are whole numbers of at most ``capacity``, so both sequences are runs of equal values: at
 most ``capacity`` runs of items and as many of gaps, however many documents there are.  The
@@ -21,7 +23,6 @@ packed like any item; no other item is split.  Ids need not be unique.
 
 from __future__ import annotations
 
-import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,43 +49,39 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
         gaps[capacity] = [[0, opened]]
     out: list[tuple[int, int, int, int, int]] = []
     while waiting:
-        rooms = sorted(gaps)
-        room_count = {g: sum(n for _, n in gaps[g]) for g in rooms}
-        unplaced = 0
-        proposals: dict[int, list[int]] = defaultdict(list)
+        rooms = sorted(gaps, reverse=True)
+        reached, available = 0, []
+        updates: list[tuple[int, int, int]] = []
         for size in sorted(waiting, reverse=True):
-            k = bisect.bisect_left(rooms, size)
-            if k == len(rooms):
-                unplaced += size * waiting[size][1]
+            while reached < len(rooms) and rooms[reached] >= size:
+                available.append(rooms[reached])
+                reached += 1
+            rank, left = waiting[size]
+            while left and available:
+                room = available[-1]
+                interval = gaps[room][-1]
+                n = min(interval[1], left)
+                first = interval[0] + interval[1] - n
+                out.append((size, rank, n, first, capacity - room))
+                rank, left = rank + n, left - n
+                interval[1] -= n
+                if not interval[1]:
+                    gaps[room].pop()
+                    if not gaps[room]:
+                        del gaps[room]
+                        available.pop()
+                if room > size:
+                    updates.append((room - size, first, n))
+            if left:
+                waiting[size] = [rank, left]
             else:
-                proposals[rooms[k]].append(size)
-        updates: list[tuple[int, int, int]] = []
-        for room, sizes in proposals.items():
-            free = room_count[room]
-            for size in sizes:  # largest first: the rank that settles conflicts
-                while free and size in waiting:
-                    interval = gaps[room][-1]
-                    n = min(interval[1], waiting[size][1])
-                    first = interval[0] + interval[1] - n
-                    out.append((size, waiting[size][0], n, first, capacity - room))
-                    interval[1] -= n
-                    if not interval[1]:
-                        gaps[room].pop()
-                    waiting[size][0] += n
-                    waiting[size][1] -= n
-                    if not waiting[size][1]:
-                        del waiting[size]
-                    free -= n
-                    if room > size:
-                        updates.append((room - size, first, n))
-                if not free:
-                    break
-            if not gaps[room]:
-                del gaps[room]
+                del waiting[size]
         for room, first, n in updates:
             gaps.setdefault(room, []).append([first, n])
-        if unplaced:
-            more = -(-unplaced // capacity)
+        largest = max(gaps, default=0)
+        stuck = sum(size * left for size, (_, left) in waiting.items() if size > largest)
+        if stuck:
+            more = -(-stuck // capacity)
             gaps.setdefault(capacity, []).append([opened, more])
             opened += more
     return np.array(out, np.int64).reshape(-1, 5), opened
