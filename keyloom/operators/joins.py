@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce as fold_left
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,12 +191,10 @@ def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = "auto
         ends = tiled.groupBy(*head, "__tile").agg(F.max(F.when(F.col("__side") == 0, F.struct(on.alias("at"), F.col("__right").alias("row")))).alias("__end"))
         if head:
             across = Window.partitionBy(*head).orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
-            before = F.last("__end", ignorenulls=True).over(across)
-        else:  # one row for each tile: its end is the last of the ends before it
-            ends = ends.groupBy().agg(F.sort_array(F.collect_list(F.struct("__tile", "__end"))).alias("all")).select(F.explode("all").alias("t"), "all")
-            ends = ends.select("t.*", F.array_max(F.transform(F.filter("all", lambda e: e["__tile"] < F.col("t.__tile")), lambda e: e["__end"])).alias("__last"))
-            before = F.col("__last")
-        carried = ends.select(*[c.alias(f"__t{i}") for i, c in enumerate(head)], F.col("__tile").alias("__tile2"), before.getField("row").alias("__before"))
+            before = F.last("__end", ignorenulls=True).over(across).getField("row")
+            carried = ends.select(*[c.alias(f"__t{i}") for i, c in enumerate(head)], F.col("__tile").alias("__tile2"), before.alias("__before"))
+        else:
+            carried = F.broadcast(_carried_ends(ends))
         same = F.col("__tile").eqNullSafe(F.col("__tile2"))
         for i, c in enumerate(head):
             same = same & c.eqNullSafe(F.col(f"__t{i}"))
@@ -214,6 +212,17 @@ def asofjoin(left: KeyedFrame, right: KeyedFrame, tile: str | int | None = "auto
     return KeyedFrame(found.select(*out), left.keys, left.kind)
 
 
+def _carried_ends(ends: DataFrame) -> DataFrame:
+    """``__tile2, __before``: the last right row before each tile; one row a tile passes through the driver."""
+    kind = next(f.dataType for f in ends.schema["__end"].dataType.fields if f.name == "row")
+    last, rows = None, []
+    for tile, end in sorted(ends.where(F.col("__tile").isNotNull()).collect(), key=lambda r: r[0]):
+        rows.append((tile, last))
+        last = last if end is None else end["row"]
+    schema = T.StructType([T.StructField("__tile2", ends.schema["__tile"].dataType), T.StructField("__before", kind)])
+    return ends.sparkSession.createDataFrame(rows, schema)
+
+
 def broadcast(f: Any, a: KeyedFrame, b: KeyedFrame, dimmap: tuple[int, ...] | None = None) -> KeyedFrame:
     """``f`` of the cells of two arrays whose dimensions match in part.
 

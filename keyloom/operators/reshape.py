@@ -37,13 +37,13 @@ def unstack(t: KeyedFrame, by: Any = None, variable: Any = "variable", value: An
     """Long to wide: one column for each value of ``variable``.
 
     Columns come in the order of ``names``, or else in order of first appearance: that of the smallest
-    key with the variable, then of the variable itself; more than ``max_columns`` are an error.  ValueError if a key has a variable twice; keys without
+    key with the variable, and within a key that of the rows; more than ``max_columns`` are an error.  ValueError if a key has a variable twice; keys without
     a variable have a missing cell.
     """
     var, val = t.names(variable)[0], t.names(value)[0]
     ids = t.names(by) if by is not None else [k for k in t.keys if k not in (var, val)]
     if names is None:
-        at = F.struct(*[quoted(i) for i in ids]) if ids else F.lit(0)
+        at = F.struct(*[quoted(i) for i in ids], F.monotonically_increasing_id())
         first = t.df.select(quoted(var).alias("v"), at.alias("at")).where(F.col("v").isNotNull()).groupBy("v").agg(F.min("at").alias("at"))
         names = [r["v"] for r in first.orderBy("at", "v").limit(max_columns + 1).collect()]
         if len(names) > max_columns:
