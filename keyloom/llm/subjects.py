@@ -239,9 +239,10 @@ class Counts:
 
 
 def sentence_scores(model: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``model`` is classes by features: one class at a time stays in the cache."""
     if not len(starts):
-        return np.zeros((0, model.shape[1]), np.float32)
-    return np.add.reduceat(model[flat], starts, axis=0)
+        return np.zeros((0, len(model)), np.float32)
+    return np.stack([np.add.reduceat(weight.take(flat), starts) for weight in model], 1)
 
 
 def posteriors(scores: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
@@ -261,7 +262,7 @@ def margins(scores: np.ndarray) -> np.ndarray:
 
 def document_margins(model: np.ndarray, flat: np.ndarray, starts: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     """For each text and subject the largest margin of its sentences, at least -REACH."""
-    out = np.full((texts, model.shape[1] - 1), -REACH, np.float32)
+    out = np.full((texts, len(model) - 1), -REACH, np.float32)
     if len(starts):
         got = margins(sentence_scores(model, flat, starts))[:, :-1]
         heads = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
@@ -272,8 +273,8 @@ def document_margins(model: np.ndarray, flat: np.ndarray, starts: np.ndarray, ow
 def _unpacked(sent: tuple[np.ndarray, np.ndarray] | None, dimensions: int) -> np.ndarray | None:
     if sent is None:
         return None
-    out = np.zeros((dimensions, sent[1].shape[1]), np.float32)
-    out[sent[0]] = sent[1]
+    out = np.zeros((sent[1].shape[1], dimensions), np.float32)
+    out[:, sent[0]] = sent[1].T
     return out
 
 
