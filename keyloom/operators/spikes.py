@@ -525,17 +525,17 @@ def flagged(rows: DataFrame, feed_rows: int = 200_000) -> DataFrame:
     """``feed, ticker, day, field, value`` of the readings that are implausible in their series."""
     known = rows.where(F.col("ticker").rlike(TICKER) & F.col("date").isNotNull())
     # one row a feed
-    sizes = checkpointed(known.groupBy("feed").agg(F.count("*").alias("feed_n")).select(F.col("feed").alias("feed_"), "feed_n", F.ceil(F.col("feed_n") / feed_rows).cast("int").alias("buckets")))
+    sizes = guarded_broadcast(checkpointed(known.groupBy("feed").agg(F.count("*").alias("feed_n")).select(F.col("feed").alias("feed_"), "feed_n", F.ceil(F.col("feed_n") / feed_rows).cast("int").alias("buckets"))))
     finite = {f: F.when(F.col(f).cast("double").between(1e-300, 1e300) & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in FIELDS}
     dated = known.select("feed", "ticker", F.unix_date("date").alias("day"), F.coalesce("file_id", F.lit(-1)).cast("long").alias("load"), *[finite[f].alias(f) for f in FIELDS])
-    dated = dated.join(guarded_broadcast(sizes), F.col("feed").eqNullSafe(F.col("feed_")))
+    dated = dated.join(sizes, F.col("feed").eqNullSafe(F.col("feed_")))
     dated = dated.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.col("buckets")).cast("int")).drop("feed_", "buckets")
     parts = partitions(dated)
     # the partitioning by feed and bucket serves the aggregate and both passes
     key = ["feed", "bucket"]
     days = dated.repartition(parts, *key).groupBy(*key, "feed_n", "ticker", "day", *FIELDS).agg(F.min("load").alias("load"))
     told = days.groupBy(*key).applyInArrow(_survey, TOLD)
-    sources = _sources(told).join(guarded_broadcast(sizes), F.col("feed").eqNullSafe(F.col("feed_"))).drop("feed_", "feed_n")
+    sources = _sources(told).join(sizes, F.col("feed").eqNullSafe(F.col("feed_"))).drop("feed_", "feed_n")
     sources = sources.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
     flags = days.groupBy(*key).cogroup(sources.groupBy(*key)).applyInArrow(_flag, "feed string, ticker string, day int, field int, value double")
     return checkpointed(flags)
